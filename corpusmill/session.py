@@ -40,3 +40,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Keep Arrow batches of whole texts small: their memory is rows times text length, per task, in JVM and Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
