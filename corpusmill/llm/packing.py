@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.session import cut, text_batches
 
 CAPACITY = 1024
 END = 2
@@ -52,9 +52,12 @@ def encoder(vocabulary: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(public.path(f"{vocabulary}.json"))
+    @cache
+    def exact() -> Tokenizer:  # large, and rarely needed
+        return Tokenizer.from_file(public.path(f"{vocabulary}.json"))
+
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public.path(f"{vocabulary}.tiktoken"), "rb"))}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: exact.token_to_id(SPECIAL)})
+    fast = tiktoken.Encoding(vocabulary, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
     def encode(text: str) -> np.ndarray:
         try:
@@ -62,7 +65,7 @@ def encoder(vocabulary: str):
         except (KeyboardInterrupt, SystemExit):
             raise
         except BaseException:  # its regular expressions give up on some very long runs
-            return np.asarray(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.asarray(exact().encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 
@@ -70,6 +73,7 @@ def encoder(vocabulary: str):
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, vocabulary: str = "byte_bpe_50k", keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]). Only documents above ``capacity`` are cut;
     then the first piece is the one that may be shorter."""
+    text_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     schema = "piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
 

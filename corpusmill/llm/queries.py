@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import mixing, packing, quality, simhash
+from corpusmill.llm import chat, mixing, packing, quality, simhash, topk
 from corpusmill.session import table
 
 
@@ -26,6 +26,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_best_fit_packing, op7_quality_classifier, op9_source_mixing)}
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_preference_format, op3_best_fit_packing, op4_exact_top_k, op7_quality_classifier, op9_source_mixing)}
 
 ORACLE_SQL: dict[str, str] = {}
