@@ -185,7 +185,7 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
                 yield pd.concat(out)
 
     meet = queries.withColumn("low", F.lit(None).cast("binary")).withColumn("block", F.explode(F.array(*[F.lit(b) for b in head]))).join(blocks.select("block", "ids", "vectors"), "block")
-    first = meet.select("q_ids", "q_vectors", "low", "ids", "vectors").mapInPandas(lows, answer)
+    first = cut(meet.select("q_ids", "q_vectors", "low", "ids", "vectors").mapInPandas(lows, answer), "topk-first")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(best)).groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("low"))
     kth = cut(kth, "topk-bounds")
@@ -210,10 +210,11 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     steps = blocks.agg(F.count("*").alias("b"), F.percentile_approx("longest", [i / 256 for i in range(257)], 100000).alias("p")).first()
     n_blocks, marks = steps["b"], sorted(steps["p"] or [], reverse=True)
     # blocks are in descending order: those shorter than a mark come after its share of the list
-    last = F.lit(n_blocks)
+    ends = [F.lit(n_blocks)]
     for i, m in enumerate(marks):
-        upto = min(n_blocks, (i + 2) * n_blocks // 256 + 2)
-        last = F.when(F.col("reach") > m * (1 + _SLACK) + 1e-6, F.least(last, F.lit(upto))).otherwise(last) if i % 8 == 0 else last
+        if i % 8 == 0:
+            ends.append(F.when(F.col("reach") > m * (1 + _SLACK) + 1e-6, F.lit(min(n_blocks, (i + 2) * n_blocks // 256 + 2))))
+    last = F.least(*ends) if len(ends) > 1 else ends[0]
     asked = queries.withColumn("block", F.explode(F.sequence(F.lit(1), last)))
     meet = asked.join(blocks.where(~F.col("block").isin(head)).select("block", "ids", "vectors"), "block")
     meet = meet.select("q_ids", "q_vectors", "lows", "ids", "vectors")
