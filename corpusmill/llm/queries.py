@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import chat, mixing, packing, quality, simhash, topk
+from corpusmill.llm import chat, html, media, mixing, packing, quality, simhash, tokencount, topk, warc
 from corpusmill.session import table
 
 
@@ -34,6 +34,27 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_preference_format, op3_best_fit_packing, op4_exact_top_k, op7_quality_classifier, op9_source_mixing)}
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.as_images(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_preference_format, op3_best_fit_packing, op4_exact_top_k, op5_html_main_text, op6_warc_round_trip, op7_quality_classifier, op8_media_columns, op9_source_mixing, op10_token_counts)
+}
 
 ORACLE_SQL: dict[str, str] = {}
