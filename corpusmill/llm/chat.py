@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import cut
+
 #: Turns in a block of the two-level prefix sums.
 BLOCK = 64
 HEAD, TAIL = "<|{}|>\n", "<|end|>\n"
@@ -50,8 +52,9 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_
     rows = rows.join(differ, "pair_id")
     common = F.col("fork").isNull() | (F.col("turn") < F.col("fork"))
     rows = rows.withColumn("part", F.when(common, "prompt").when(F.col("chosen"), "chosen").otherwise("rejected"))
-    rows = rows.where("part <> 'prompt' or chosen").drop("chosen", "fork")
-    rows = rows.withColumn("segment", F.concat(_head("role"), "text", F.lit(TAIL))).withColumn("size", F.length("segment").cast("long"))
+    # read three times below; a segment is put together only at the end, so each text moves once a pass
+    rows = cut(rows.where("part <> 'prompt' or chosen").select("pair_id", "part", "turn", "role", "text"), "chat-rows")
+    rows = rows.withColumn("size", (F.length(_head("role")) + F.length("text") + len(TAIL)).cast("long"))
     rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
 
     blocks = rows.groupBy("pair_id", "part", "block").agg(F.sum("size").alias("block_size"))
@@ -68,7 +71,7 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_
     trained = (F.col("part") != "prompt") & (F.col("role") == "assistant")
     text_from = start + F.length(_head("role"))
     return rows.select(
-        "pair_id", "part", "turn", "nth", "role", "segment", start.alias("start"), end.alias("end"),
+        "pair_id", "part", "turn", "nth", "role", F.concat(_head("role"), "text", F.lit(TAIL)).alias("segment"), start.alias("start"), end.alias("end"),
         F.when(trained, text_from).alias("train_from"), F.when(trained, text_from + F.length("text")).alias("train_to"),
     )
 
