@@ -16,6 +16,14 @@ NUMBER = r"\d[\d,_]*(?:\^\d+|e\d+)?"
 CONSTRAINTS = (rf"\b[nmkq]\s*(?:<=|≤|<)\s*{NUMBER}", rf"1\s*≤\s*[nmkq]\s*≤\s*{NUMBER}", rf"(?:up to|at most)\s+{NUMBER}")
 
 
+#: Words before whose full stop no sentence ends.
+ABBREVIATIONS = ("e.g.", "i.e.", "mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "vs.", "etc.", "fig.", "eq.", "no.", "approx.", "inc.", "dept.")
+#: Option markers, the first that matches a line counts, and the fewest and most options.
+OPTION_MARKERS = (r"^\s*\([A-Da-d]\)\s+", r"^\s*[A-Da-d][.)]\s+", r"^\s*[1-9][0-9]*[.)]\s+", r"^\s*(?:Option\s+)[A-Da-d](?:[.)]?)\s+", r"^\s*\[[A-Da-d]\]\s+", r"^\s*(?:Option\s+)?[A-Da-d]:\s+")
+OPTIONS = (2, 12)
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+
+
 @F.pandas_udf(StringType())
 def dedup_norm(texts):
     """NFKC, white space runs to one space, stripped, casefolded; null stays null."""
@@ -58,6 +66,44 @@ def constraint_matches(text: Column) -> Column:
     return F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in CONSTRAINTS))
 
 
+def sentences(text: Column) -> Column:
+    """Sentences: every line break ends one, and so does white space after . ! ? and before an upper-case
+    letter, a digit, a quote or an opening bracket, unless an abbreviation stands before it."""
+    kept = "|".join(map(re.escape, ABBREVIATIONS))
+    cut_at = rf"(?U)\n|(?<=[.!?])(?<!(?:^|\s)(?iu:{kept}))[^\S\n]+(?=[\p{{IsUppercase}}\d\"'(\[])"
+    parts = F.split(F.coalesce(text, F.lit("")), cut_at)
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+
+
+def options(text: Column) -> Column:
+    """Answer options: from the first marked line on, consecutive lines whose markers count up by one
+    in one kind (numbers or letters); at least ``OPTIONS[0]`` or none, at most ``OPTIONS[1]``."""
+    marker = lambda line: F.coalesce(*(F.nullif(F.regexp_extract(line, p, 0), F.lit("")) for p in OPTION_MARKERS))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), lambda x, i: F.struct(i.alias("at"), x.alias("line"), marker(x).alias("mark")))
+    hits = F.filter(lines, lambda h: h["mark"].isNotNull())
+
+    def key(mark: Column) -> Column:
+        """Even for numbers, odd for letters; the next of a kind is 2 more."""
+        bare = F.regexp_replace(F.lower(F.trim(mark)), r"^[()\[\]]+|[()\[\]]+$", "")
+        bare = F.regexp_replace(F.regexp_replace(bare, r"^option\s+", ""), r"[.)]+$", "")
+        letter = F.when(bare.rlike(r"^[a-z]$"), F.ascii(bare).cast("long") * 2 + 1)
+        return F.coalesce(letter, F.when(bare.rlike(r"^\d{1,17}$"), bare.cast("long") * 2))
+
+    state = lambda found, at, k, going: F.struct(found.alias("found"), at.alias("at"), k.alias("key"), going.alias("going"))
+
+    def step(s: Column, h: Column) -> Column:
+        k = key(h["mark"])
+        first = F.size(s["found"]) == 0
+        fits = s["going"] & k.isNotNull() & (first | ((h["at"] == s["at"] + 1) & (k == s["key"] + 2))) & (F.size(s["found"]) < OPTIONS[1])
+        rest = F.trim(F.substring(h["line"], F.length(h["mark"]) + 1, F.length(h["line"])))
+        more = state(F.concat(s["found"], F.array(rest)), h["at"], k, F.lit(True))
+        return F.when(fits, more).otherwise(state(s["found"], s["at"], s["key"], F.lit(False)))
+
+    none = F.expr("cast(array() as array<string>)")
+    start = state(none, F.lit(-1), F.lit(0).cast("long"), F.lit(True))
+    return F.aggregate(hits, start, step, lambda s: F.when(F.size(s["found"]) >= OPTIONS[0], s["found"]).otherwise(none))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0.0 where a vector has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

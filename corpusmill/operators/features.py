@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import words
+from corpusmill.functions.text import distinct_phrases, options, phrase_occurrences, sentences, words
+from corpusmill.session import cut
 
 RARE_BELOW = 5
 #: Fixed values.
@@ -29,6 +30,35 @@ def lexical(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return rows.select(key, n.alias("f01"), F.round(letters / F.greatest(n, F.lit(1)), 6).alias("f03"), F.round(kinds / F.greatest(n, F.lit(1)), 6).alias("f04"))
 
 
+def sentence_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, sentences, f02, multi_segment): words a sentence, and whether there are two sentences or more."""
+    rows = docs.select(key, F.size(words(text)).alias("w"), F.size(sentences(F.col(text))).alias("sentences"))
+    return rows.select(key, "sentences", F.round(F.col("w") / F.greatest("sentences", F.lit(1)), 6).alias("f02"), (F.col("sentences") >= 2).alias("multi_segment"))
+
+
+def option_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, f18, f19, f20): options, their mean words, the population variance of those; null without options."""
+    rows = docs.select(key, F.transform(options(F.col(text)), lambda o: F.size(words(o)).cast("double")).alias("n"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("mean", F.try_divide(total(F.col("n")), F.size("n")))
+    spread = F.try_divide(total(F.transform("n", lambda x: (x - F.col("mean")) * (x - F.col("mean")))), F.size("n"))
+    return rows.select(key, F.size("n").alias("f18"), F.round("mean", 6).alias("f19"), F.round(spread, 6).alias("f20"))
+
+
+def phrase_ratios(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, f27, f28): distinct concepts and occurrences of technical terms, each by word."""
+    rows = docs.select(key, F.greatest(F.size(words(text)), F.lit(1)).alias("w"), distinct_phrases(text, CONCEPTS).alias("c"), phrase_occurrences(text, TECHNICAL).alias("t"))
+    return rows.select(key, F.round(F.col("c") / F.col("w"), 6).alias("f27"), F.round(F.col("t") / F.col("w"), 6).alias("f28"))
+
+
+def high_tfidf_terms(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", share: float = 0.9) -> DataFrame:
+    """(key, f25): terms whose weight is above the training rows' quantile; 0 without a known term."""
+    w = cut(tfidf(docs, train, key, text).withColumn("w", F.round("w", 9)), "tfidf-weights")
+    tau = w.where(train).agg(F.round(F.percentile("w", share), 9).alias("tau"))  # one row
+    high = w.join(F.broadcast(tau), F.lit(True)).groupBy(key).agg(F.sum((F.col("w") > F.col("tau")).cast("long")).alias("high"))
+    return docs.select(key).join(high, key, "left").select(key, F.coalesce("high", F.lit(0)).alias("f25"))
+
+
 def token_counts(docs: DataFrame, key: str, text: str, shortest: int = 1) -> DataFrame:
     """(key, token, n) in lower case."""
     tokens = docs.select(key, F.explode(words(text)).alias("token")).select(key, F.lower("token").alias("token"))

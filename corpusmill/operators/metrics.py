@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLASSES = (0, 1, 2)
@@ -47,6 +47,29 @@ def summary(rows: DataFrame) -> DataFrame:
     return both.select(*(F.round(c, 9).alias(c) for c in ("macro_f1", "ordinal_mae", "balanced_accuracy", "accuracy")), F.round(kappa, 9).alias("kappa"))
 
 
+def brier(rows: DataFrame) -> DataFrame:
+    """One row: brier, the mean over ``(y, p0, p1, p2)`` of the squared distance to the class's unit vector."""
+    parts = (F.pow(F.col(f"p{c}") - (F.col("y") == c).cast("double"), 2) for c in CLASSES)
+    return rows.agg(F.round(F.avg(sum(parts, F.lit(0.0))), 9).alias("brier"))
+
+
+def best_run(runs: DataFrame) -> DataFrame:
+    """The run of highest macro_f1, then lowest ordinal_mae, highest balanced_accuracy, first run_id."""
+    return runs.orderBy(F.col("macro_f1").desc(), "ordinal_mae", F.col("balanced_accuracy").desc(), "run_id").limit(1)
+
+
+def majority(rows: DataFrame) -> DataFrame:
+    """The most frequent class ``y``, the lowest among equals."""
+    return rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "y").limit(1)
+
+
+def ladder_deltas(runs: DataFrame) -> DataFrame:
+    """``(step, run_id, macro_f1)`` with the gain over the first step and over the one before; a few rows."""
+    order = Window.orderBy("step")
+    first = F.first("macro_f1").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return runs.select("step", "run_id", "macro_f1", F.round(F.col("macro_f1") - first, 9).alias("over_first"), F.round(F.col("macro_f1") - F.lag("macro_f1").over(order), 9).alias("over_previous"))
+
+
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, confidence, accuracy) over ``(y, p, conf)``; the last bin is closed, empty bins are kept."""
     at = F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1)).cast("int")

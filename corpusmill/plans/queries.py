@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import features, metrics, neardup, records, transform
+from corpusmill.operators import features, metrics, neardup, records, splits, transform
 from corpusmill.session import table
 
 TRAIN = "pmod(doc_id, 10) < 7"
@@ -203,7 +203,66 @@ def one_hot(spark, sf_dir):
     return out.drop("c_mktsegment")
 
 
-flagship_query = exact_dedup_keep_first
+_SPACE = r"[\s\x{a0}\x{2028}\x{2029}\x{3000}\x{2000}-\x{200a}]"
+_ENDS = "regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(^|" + _SPACE + ")(" + "|".join(a.replace(".", "\\.") for a in T.ABBREVIATIONS) + ")', '\\1\\2' || chr(1), 'g'), '([.!?])[ \\t]+([\\p{Lu}\\p{Nd}\"''(\\[])', '\\1' || chr(10) || '\\2', 'g')"
+
+
+@query(f"with {_TOKENS}, a as (select doc_id, count(*) w from tok group by 1), s as (select doc_id, len(list_filter(string_split({_ENDS}, chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '')) k from documents) select doc_id, k sentences, round(coalesce(w, 0) / greatest(k, 1)::double, 6) f02, k >= 2 multi_segment from s left join a using (doc_id)")
+def sentence_features(spark, sf_dir):
+    return features.sentence_features(table(spark, sf_dir, "documents"))
+
+
+#: Parts as questions with options: none, three letters, two numbers before a gap, markers that do not count.
+_D1_OPTIONS = "concat('Pick one. ', p_name, case p_partkey % 4 when 1 then concat('\\nA) ', p_name, '\\nB) ', p_type, '\\nC) none of them') when 2 then concat('\\n 1. ', p_brand, '\\n 2. ', p_type, '\\n 4. never') when 3 then '\\na: x\\nb: y' else '' end)"
+_COUNT = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+(?:''[\\p{{L}}\\p{{N}}_]+)?'))"
+
+
+@query(f"with n as (select p_partkey, case p_partkey % 4 when 1 then [{_COUNT.format('p_name')}, {_COUNT.format('p_type')}, 3] when 2 then [{_COUNT.format('p_brand')}, {_COUNT.format('p_type')}] else [] end n from part) select p_partkey, len(n)::int f18, round(list_avg(n), 6) f19, round(list_var_pop(n), 6) f20 from n")
+def option_features(spark, sf_dir):
+    return features.option_features(table(spark, sf_dir, "part").select("p_partkey", F.expr(_D1_OPTIONS).alias("q")), "p_partkey", "q")
+
+
+_TERMS = " + ".join("len(regexp_extract_all(q, '(?i)(?:^|[^\\p{L}\\p{N}_])" + t.replace(" ", "\\s+") + "(?:[^\\p{L}\\p{N}_]|$)'))" for t in features.TECHNICAL)
+_KINDS = " + ".join("regexp_matches(q, '(?i)(^|[^\\p{L}\\p{N}_])" + t.replace(" ", "\\s+") + "([^\\p{L}\\p{N}_]|$)')::int" for t in features.CONCEPTS)
+
+
+@query(f"select p_partkey, round(({_KINDS}) / greatest(w, 1)::double, 6) f27, round(({_TERMS}) / greatest(w, 1)::double, 6) f28 from (select p_partkey, q, {_COUNT.format('q')} w from (select p_partkey, {_D1} q from part))")
+def phrase_ratios(spark, sf_dir):
+    return features.phrase_ratios(table(spark, sf_dir, "part").select("p_partkey", F.expr(_D1).alias("q")), "p_partkey", "q")
+
+
+@query(f"with {_TFIDF}, v as (select doc_id, round(w, 9) w from w), t as (select round(quantile_cont(w, 0.9), 9) tau from v where doc_id % 10 < 7), h as (select doc_id, count(*) n from v, t where w > tau group by 1) select d.doc_id, coalesce(n, 0) f25 from documents d left join h using (doc_id)")
+def high_tfidf_terms(spark, sf_dir):
+    return features.high_tfidf_terms(table(spark, sf_dir, "documents"), F.expr(TRAIN))
+
+
+@query(f"with {_PRED} select round(avg((conf - (y = 0)::int) ** 2 + ((1 - conf) / 2 - (y = 1)::int) ** 2 + ((1 - conf) / 2 - (y = 2)::int) ** 2), 9) brier from pr")
+def brier_score(spark, sf_dir):
+    rest = (1 - F.col("conf")) / 2
+    return metrics.brier(predictions(spark, sf_dir).select("y", F.col("conf").alias("p0"), rest.alias("p1"), rest.alias("p2")))
+
+
+@query(f"with {_PRED} select y, count(*) n from pr group by 1 order by n desc, y limit 1")
+def majority_class(spark, sf_dir):
+    return metrics.majority(predictions(spark, sf_dir))
+
+
+@query("with n as (select o_custkey family, o_orderkey % 3 as label, count(*) n from orders group by 1, 2) select family, sum(n)::bigint as size, max_by(label, n * 10 + label)::int as label from n group by 1")
+def family_majority(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("family"), (F.col("o_orderkey") % 3).cast("int").alias("label"))
+    return splits.family_sizes(o)
+
+
+def split_assignment(spark, sf_dir):
+    """Customers as families of orders. Each choice depends on all before it: tests compare with a plain fold."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("family"), (F.col("o_orderkey") % 3).cast("int").alias("label"))
+    return splits.assign(o)
+
+
+QUERIES["split_assignment"] = split_assignment
+
+
+flagship_query =exact_dedup_keep_first
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

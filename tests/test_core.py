@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import features, metrics, neardup, records, transform
+from corpusmill.operators import features, metrics, neardup, records, splits, transform
 from corpusmill.operators.graph import connected_components
 from corpusmill.plans import queries as core
 from corpusmill.sources import json_records
+from corpusmill.streaming import scoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +26,7 @@ def plain(rows):
     return sorted((tuple(map(value, r)) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(core.QUERIES))
+@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for p in Path(SF).glob("*.parquet"):
@@ -77,6 +78,59 @@ def test_families_of_copies(spark):
     assert {tuple(r) for r in neardup.families(rows, "id", "t").collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
 
 
+def test_sentences(spark):
+    texts = ["See Dr. Smith, e.g. Today. It rains! 4 drops? yes\nnew line.\n\n(ok). \"So\" it ends.", "a.b. c", "", None, "One. Two etc. Three"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.sentences(F.col("t"))).collect()]
+    assert got == [["See Dr. Smith, e.g. Today.", "It rains!", "4 drops? yes", "new line.", "(ok).", '"So" it ends.'], ["a.b. c"], [], [], ["One.", "Two etc. Three"]]
+
+
+def test_options(spark):
+    texts = ["Stem\n(A) x\n(B) y y\n(C) z", "1. a\n3. b", "A) x\n\nB) y", "Option a x\noption B y", "1. q\n2) r\nb. s", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.options(F.col("t"))).collect()]
+    assert got == [["x", "y y", "z"], [], [], [], ["q", "r"], []]
+
+
+def test_split_is_the_plain_fold(spark):
+    rows = core.split_assignment(spark, SF).collect()
+    o = core.table(spark, SF, "orders").select("o_orderkey", "o_custkey").collect()
+    by_family = {}
+    for r in o:
+        by_family.setdefault(r["o_custkey"], []).append(r["o_orderkey"] % 3)
+    due = {c: sum(x["o_orderkey"] % 3 == c for x in o) for c in range(3)}
+    got, have, want = dict.fromkeys(((s, c) for s in range(3) for c in range(3)), 0), [0] * 3, {}
+    for f in sorted(by_family):
+        labels = by_family[f]
+        c = max(range(3), key=lambda k: (labels.count(k), k))
+        to = min(range(3), key=lambda s: (-(splits.RATIOS[s] * due[c] - got[s, c]) / (splits.RATIOS[s] * due[c]), -(splits.RATIOS[s] * len(o) - have[s]) / (splits.RATIOS[s] * len(o)), s))
+        got[to, c] += len(labels)
+        have[to] += len(labels)
+        want[f] = splits.SPLITS[to]
+    assert {r["family"]: r["split"] for r in rows} == want
+    assert abs(sum(splits.check_ratios(core.split_assignment(spark, SF), most_off=0.1).values()) - 1) < 1e-9
+
+
+def test_fingerprint_has_no_order(spark):
+    rows = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("raw_hash"))
+    assert splits.fingerprint(rows).first() == splits.fingerprint(rows.orderBy(F.desc("raw_hash")).repartition(3)).first()
+    assert splits.fingerprint(rows).first() != splits.fingerprint(rows.limit(49)).first()
+    assert splits.fingerprint(rows.where("false")).first()["n"] == 0
+
+
+def test_stream_equals_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"question_id": "1", "question": "Sort the array. Pick:\\nA) x\\nB) y"}\n{"question_id": "2"}\n')
+    scoring.score_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    batch = scoring.question_features(spark.read.schema("question_id string, question string").json(str(tmp_path / "in")))
+    assert sorted(spark.read.schema(batch.schema).parquet(str(tmp_path / "out")).collect(), key=str) == sorted(batch.collect(), key=str)
+    assert {r["question_id"]: r["f18"] for r in batch.collect()} == {"1": 2, "2": 0}
+
+
+def test_run_order(spark):
+    runs = spark.createDataFrame([(0, "b", 0.5, 0.3, 0.5), (1, "a", 0.5, 0.3, 0.5), (2, "c", 0.4, 0.1, 0.9)], "step int, run_id string, macro_f1 double, ordinal_mae double, balanced_accuracy double")
+    assert metrics.best_run(runs).first()["run_id"] == "a"
+    assert [(r["over_first"], r["over_previous"]) for r in metrics.ladder_deltas(runs).orderBy("step").collect()] == [(0.0, None), (0.0, 0.0), (-0.1, -0.1)]
+
+
 def test_metrics_of_one_class(spark):
     r = metrics.summary(spark.createDataFrame([(1, 1), (1, 1)], "y int, p int")).first()
     assert (r["kappa"], r["accuracy"], r["balanced_accuracy"]) == (1.0, 1.0, 1.0)
