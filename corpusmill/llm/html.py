@@ -1,25 +1,29 @@
-"""Main text of web pages by wrapper induction over pages of the same host.
+"""Main text of web pages by wrapper induction over all pages of the same host.
 
-Each page is parsed to a tree of elements and text. A host lends two exemplars, the distinct pages
-with the least and the greatest hash; a page is aligned with one that differs from it by simple
-tree matching (the heaviest order-preserving matching of children, level by level). Nodes matched
-with equal content are the host's template, slots that vary are content.
+Each page is parsed to a tree of elements and text. Its slots are the block elements, and the runs of
+text and inline elements beside block elements. Slots of two pages are aligned level by level: by the
+tags from the root down, equal ones in order. A slot that is on more than ``SHARE`` of the distinct
+pages of a host, aligned and with equal content, is the host's template; all others are content.
+Per host the slots of all pages are counted; only the template goes back to the pages.
 
 The article elements of a page are its slots outright: what stands in them is the page's own, even
 where a copy of it is on the same host, unless it is marked as boilerplate (menus, headers, footers,
 sidebars, notices, adverts, forms, comments) by its tag, role, class or id. In a page without them
-the varying slots of the body are the content; there the template goes. Without a differing page
-on its host, or where nothing varies, all of the body that is not marked boilerplate is content.
+the body without the template is the content. On a host with one distinct page, or where all is
+template, all of the body that is not marked boilerplate is content.
 
 Null html and html without text give ''. A null or unreadable url has no host: such pages are not
 aligned. Repeated rows and null page_ids are kept. Extra columns are ignored; an empty table gives
-an empty one. Deep trees are aligned down to ``DEPTH`` levels; below, equal subtrees only match.
+an empty one. Slots are told apart by 64-bit digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import cut, text_batches
 
-DEPTH = 100
+#: A slot on more than this share of a host's distinct pages is template.
+SHARE = 0.5
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 _BOILERPLATE = frozenset("aside button dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
@@ -43,7 +48,7 @@ class Node:
     __slots__ = ("children", "key", "marked", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
-        self.tag, self.children, self.key = tag, [], None
+        self.tag, self.children, self.key = tag, [], b""
         words = re.findall(r"[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
         named = tag not in ("html", "body") and (not _MARKS.isdisjoint(words) or (attrs.get("role") or "").lower() in _ROLES)
         self.marked = tag in _BOILERPLATE or named or "hidden" in attrs
@@ -83,66 +88,80 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
+
+
 def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    # a key per subtree, children first: equal keys, equal content
+    # a key per subtree with text, children first: equal keys, equal content in every process
     order, todo = [], [tree.root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
-        node.key = hash((node.tag, tuple(c.key if isinstance(c, Node) else " ".join(c.split()) for c in node.children)))
+        node.key = _run_key(node.tag, node.children)
     return tree.root
 
 
-def _key(x):
-    return x.key if isinstance(x, Node) else hash(" ".join(x.split()))
+def _run_key(tag: str, run: list) -> bytes:
+    """Key of children in order; empty if they hold no text."""
+    keys = [c.key if isinstance(c, Node) else " ".join(c.split()).encode("utf-8", "surrogatepass") for c in run]
+    return _digest(tag.encode("utf-8", "surrogatepass"), *keys) if any(keys) else b""
+
+
+@lru_cache(1 << 16)
+def _below(path: bytes, tag: str) -> bytes:
+    return _digest(path, tag.encode("utf-8", "surrogatepass"))
 
 
-def align(a: Node, b: Node, template: set[int], depth: int = DEPTH) -> int:
-    """Weight of the best matching of two subtrees; adds the ids of ``a``'s template nodes.
+def _is_block(x) -> bool:
+    return isinstance(x, Node) and x.tag not in _INLINE and x.tag != "wbr"
 
-    A child's id is ``(id of its parent, place)`` for text, so that equal strings stay apart.
+
+def slots(root: Node) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Slots with text, in order: a number that is equal on aligned slots of equal content, and what they
+    cover, as (id of the parent, place).
+
+    A slot is a block element, or a run of text and inline elements beside block elements; no sentence is
+    taken apart. Slots are aligned if the tags from the root down are equal; of several equal ones on a
+    page the first is aligned with the first, the second with the second.
     """
-    if a.key == b.key:
-        template.add(id(a))
-        return 2 + len(a.children)
-    if a.tag != b.tag or not depth:
-        return 0
-    x, y = a.children, b.children
-    lo = 0  # equal ends match each other
-    while lo < min(len(x), len(y)) and _key(x[lo]) == _key(y[lo]):
-        lo += 1
-    hi = 0
-    while hi < min(len(x), len(y)) - lo and _key(x[-1 - hi]) == _key(y[-1 - hi]):
-        hi += 1
-    mid_x, mid_y = x[lo : len(x) - hi], y[lo : len(y) - hi]
-    scores: dict[tuple[int, int], tuple[int, set]] = {}
-    best = [[0] * (len(mid_y) + 1) for _ in range(len(mid_x) + 1)]
-    for i, c in enumerate(mid_x):
-        for j, d in enumerate(mid_y):
-            w, own = 0, set()
-            if isinstance(c, Node) and isinstance(d, Node):
-                w = align(c, d, own, depth - 1)
-            elif not isinstance(c, Node) and not isinstance(d, Node) and _key(c) == _key(d):
-                w, own = 1, {(id(a), lo + i)}
-            scores[i, j] = (w, own)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    for at in (*range(lo), *range(len(x) - hi, len(x))):
-        template.add(id(x[at]) if isinstance(x[at], Node) else (id(a), at))
-    i, j = len(mid_x), len(mid_y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            template |= scores[i, j][1]
-    return 1 + lo + hi + best[-1][-1]
+    seen: Counter = Counter()
+    todo = [(root, b"")]
+    while todo:
+        node, path = todo.pop()
+        blocks = [i for i, c in enumerate(node.children) if _is_block(c)]
+        if not blocks and node is not root:
+            continue  # nothing but its own text: the slot is the element
+        below, at = [], 0
+        for i in (*blocks, len(node.children)):
+            if key := _run_key("", node.children[at:i]):
+                yield _number(seen, path, key), [(id(node), k) for k in range(at, i)]
+            if i < len(node.children):
+                child = node.children[i]
+                if child.key:
+                    inner = _below(path, child.tag)
+                    yield _number(seen, inner, child.key), [(id(node), i)]
+                    below.append((child, inner))
+            at = i + 1
+        todo += reversed(below)
+
+
+def _number(seen: Counter, path: bytes, key: bytes) -> int:
+    nth = seen[path, key]
+    seen[path, key] += 1
+    return int.from_bytes(_digest(path, key, str(nth).encode()), "little", signed=True)
+
+
+def wrapper(pages: Iterable[str]) -> Counter:
+    """On how many of the distinct pages of a host each slot is, for those on more than ``SHARE`` of them."""
+    pages = set(pages)
+    found = Counter(n for p in pages for n in {n for n, _ in slots(parse(p))})
+    return Counter({n: c for n, c in found.items() if c > 1 and c > SHARE * len(pages)})
 
 
 def _articles(root: Node) -> list[Node]:
@@ -178,12 +197,14 @@ def _text(top: list[Node], template: set, in_article: bool) -> str:
     out, todo = [], [(n, None, None) for n in reversed(top)]
     while todo:
         x, parent, place = todo.pop()
+        if (parent, place) in template:
+            out.append(" ")
+            continue
         if isinstance(x, str):
-            if parent is None or (parent, place) not in template:
-                out.append(x)
+            out.append(x)
             continue
         # an article's own header with its title is part of the article
-        if (x.marked and not (in_article and x.tag == "header" and _heading(x))) or id(x) in template:
+        if x.marked and not (in_article and x.tag == "header" and _heading(x)):
             continue
         edge = "" if x.tag in _INLINE or x.tag == "wbr" else " "
         todo.append((edge, None, None))
@@ -194,17 +215,18 @@ def _text(top: list[Node], template: set, in_article: bool) -> str:
 
 def main_text(html: str | None, others: tuple[str | None, ...] = ()) -> str:
     """Main text of one page, given pages of its host."""
+    return text_of(html, wrapper(p for p in (html, *others) if p)) if html else ""
+
+
+def text_of(html: str | None, common: dict[int, int]) -> str:
+    """Main text of one page, given its host's wrapper."""
     if not html:
         return ""
     root = parse(html)
     articles = _articles(root)
     if articles:
         return _text(articles, set(), True)
-    template: set = set()
-    for other in others:
-        if other and other != html:
-            align(root, parse(other), template)
-            break
+    template = {x for n, covered in slots(root) if n in common for x in covered}
     return _text([root], template, False) or _text([root], set(), False)
 
 
@@ -213,17 +235,24 @@ def extract(pages: DataFrame) -> DataFrame:
     text_batches(pages.sparkSession, 200)
     host = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     rows = pages.select("page_id", "url", "html", F.when(host != "", host).alias("host"), F.xxhash64("html").alias("h"))
-    key = F.struct("h", "page_id")
-    # two narrow rows per host, summed up before the shuffle; then their pages, by id
-    ends = rows.where("host is not null and page_id is not null and html is not null").groupBy("host").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    ends = cut(ends.select("host", F.explode(F.array("lo", "hi")).alias("k")).select("host", "k.h", "k.page_id").distinct(), "html-ends")
-    picked = ends.join(rows.select("host", "h", "page_id", "html"), ["host", "h", "page_id"]).groupBy("host").agg(F.min("html").alias("least"), F.max("html").alias("greatest"))
-    joined = rows.drop("h").join(cut(picked, "html-exemplars"), "host", "left").select("page_id", "url", "html", "least", "greatest")
     kind = pages.schema["page_id"].dataType
 
+    def number(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            found = [sorted({n for n, _ in slots(parse(h.as_py()))}) for h in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "h", "slots"])
+
+    # three narrow columns per slot; equal pages of a host count once
+    own = rows.where("host is not null and html is not null").select("host", "h", "html")
+    counted = own.mapInArrow(number, "host string, h long, slots array<long>").select("host", "h", F.explode("slots").alias("slot")).distinct()
+    counted = counted.groupBy("host", "slot").agg(F.count("*").alias("n")).where("n > 1")
+    size = own.select("host", "h").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    common = counted.join(size, "host").where(F.col("n") > SHARE * F.col("pages")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("common"))
+    joined = rows.drop("h").join(cut(common, "html-wrappers"), "host", "left").select("page_id", "url", "html", "common")
+
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            texts = [main_text(h.as_py(), (lo.as_py(), hi.as_py())) for h, lo, hi in zip(*b.columns[2:], strict=True)]
+            texts = [text_of(h.as_py(), dict(c.as_py() or ())) for h, c in zip(*b.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kind.simpleString()}, url string, text string, n_chars long")

@@ -136,6 +136,15 @@ def test_html_template_without_article():
     assert html.main_text(a, (a, a)) == "Site name alpha second 1 All rights"
 
 
+def test_html_wrapper_of_all_pages(spark):
+    page = "<body>{}<div><p>own {}</p><p>{}</p></div><p>All rights</p></body>"
+    menu = "<div><p>Home</p><p>About</p></div>"
+    # a passage on 3 of 9 pages is content; the menu, which 3 pages lack, is template
+    rows = [(i, f"http://h/{i}", page.format("" if i % 3 == 2 else menu, i, f"passage {i // 3}")) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows * 2, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own {i} passage {i // 3}" for i in range(9)}
+
+
 def test_op5_on_all_pages(spark):
     rows = run(spark, "op5_html_main_text")
     pages = {r["page_id"]: r["html"] for r in table(spark, SF, "pages").collect()}
