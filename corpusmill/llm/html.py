@@ -6,11 +6,11 @@ tags from the root down, equal ones in order. A slot that is on more than ``SHAR
 pages of a host, aligned and with equal content, is the host's template; all others are content.
 Per host the slots of all pages are counted; only the template goes back to the pages.
 
-The article elements of a page are its slots outright: what stands in them is the page's own, even
-where a copy of it is on the same host, unless it is marked as boilerplate (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) by its tag, role, class or id. In a page without them
-the body without the template is the content. On a host with one distinct page, or where all is
-template, all of the body that is not marked boilerplate is content.
+The content of a page is its body without the template and without what is marked as boilerplate
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) by its tag, role, class or id.
+The article elements check it: if they hold half of that text or more, or if the page has no template,
+they alone are the content, again without the template; there a slot must be on ``FIRM`` pages to be
+template. Where all of an article is template, or all of the body, the template stays.
 
 Null html and html without text give ''. A null or unreadable url has no host: such pages are not
 aligned. Repeated rows and null page_ids are kept. Extra columns are ignored; an empty table gives
@@ -34,6 +34,8 @@ from corpusmill.session import cut, text_batches
 
 #: A slot on more than this share of a host's distinct pages is template.
 SHARE = 0.5
+#: Within an article it is on so many pages at least: two may be copies of one text.
+FIRM = 3
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 _BOILERPLATE = frozenset("aside button dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
@@ -192,24 +194,25 @@ def _heading(node: Node) -> bool:
     return False
 
 
-def _text(top: list[Node], template: set, in_article: bool) -> str:
+def _text(top: list[Node], template: dict, in_article: bool) -> str:
     """Text of the trees without boilerplate and template; elements that are not inline end a block."""
-    out, todo = [], [(n, None, None) for n in reversed(top)]
+    out, todo = [], [(n, None, None, in_article) for n in reversed(top)]
     while todo:
-        x, parent, place = todo.pop()
-        if (parent, place) in template:
+        x, parent, place, inside = todo.pop()
+        if template.get((parent, place), 0) >= (FIRM if inside else 2):
             out.append(" ")
             continue
         if isinstance(x, str):
             out.append(x)
             continue
         # an article's own header with its title is part of the article
-        if x.marked and not (in_article and x.tag == "header" and _heading(x)):
+        if x.marked and not (inside and x.tag == "header" and _heading(x)):
             continue
+        inside = inside or x.tag in ("article", "main")
         edge = "" if x.tag in _INLINE or x.tag == "wbr" else " "
-        todo.append((edge, None, None))
-        todo += [(c, id(x), i) for i, c in reversed(list(enumerate(x.children)))]
-        todo.append((edge, None, None))
+        todo.append((edge, None, None, inside))
+        todo += [(c, id(x), i, inside) for i, c in reversed(list(enumerate(x.children)))]
+        todo.append((edge, None, None, inside))
     return " ".join("".join(out).split())
 
 
@@ -223,11 +226,13 @@ def text_of(html: str | None, common: dict[int, int]) -> str:
     if not html:
         return ""
     root = parse(html)
+    template = {x: common[n] for n, covered in slots(root) if n in common for x in covered}
+    body = _text([root], template, False)
     articles = _articles(root)
-    if articles:
-        return _text(articles, set(), True)
-    template = {x for n, covered in slots(root) if n in common for x in covered}
-    return _text([root], template, False) or _text([root], set(), False)
+    own = _text(articles, template, True) or _text(articles, {}, True)
+    if own and (not template or 2 * len(own) >= len(body)):
+        return own
+    return body or own or _text([root], {}, False)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -145,6 +145,22 @@ def test_html_wrapper_of_all_pages(spark):
     assert got == {i: f"own {i} passage {i // 3}" for i in range(9)}
 
 
+def test_html_template_in_articles():
+    page = "<body><article><h1>{0}</h1><p>text {0}</p><div>Share this</div><p>Licence: <b>free</b></p></article><p>{1}</p></body>"
+    pages = [page.format(i, "") for i in range(4)]
+    assert [html.main_text(p, tuple(pages)) for p in pages] == [f"{i} text {i}" for i in range(4)]
+    # two pages may be copies of one text; an article of template only stays
+    assert html.main_text(pages[0], tuple(pages[:2])) == "0 text 0 Share this Licence: free"
+    same = [page.format("x", f"note {i}") for i in range(3)]
+    assert html.main_text(same[0], tuple(same)) == "x text x Share this Licence: free"
+
+
+def test_html_text_beside_cards():
+    page = "<body><p>Site</p><div><p>a long text of its own, number {0}</p><p>and more of it {0}</p></div><article>card {0}</article></body>"
+    pages = [page.format(i) for i in range(3)]
+    assert html.main_text(pages[1], tuple(pages)) == "a long text of its own, number 1 and more of it 1 card 1"
+
+
 def test_op5_on_all_pages(spark):
     rows = run(spark, "op5_html_main_text")
     pages = {r["page_id"]: r["html"] for r in table(spark, SF, "pages").collect()}
