@@ -12,6 +12,11 @@ The article elements check it: if they hold half of that text or more, or if the
 they alone are the content, again without the template; there a slot must be on ``FIRM`` pages to be
 template. Where all of an article is template, or all of the body, the template stays.
 
+Class and id count as marks by whole names (``sidebar``, not ``no-sidebar``). A mark does not hide an
+article if the page has no other with fewer marks above it; a form that holds most of a page's text is no
+mark; where all text of a page is marked, names and roles are not believed, then no mark. A main element is one article, with all
+that stands in it.
+
 Null html and html without text give ''. A null or unreadable url has no host: such pages are not
 aligned. Repeated rows and null page_ids are kept. Extra columns are ignored; an empty table gives
 an empty one. Slots are told apart by 64-bit digests.
@@ -20,7 +25,6 @@ an empty one. Slots are told apart by 64-bit digests.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -39,6 +43,8 @@ FIRM = 3
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 _BOILERPLATE = frozenset("aside button dialog footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
+#: Never shown as text, whatever else a page lacks.
+_NO_TEXT = frozenset("head iframe noscript object script select style svg template textarea title".split())
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 _MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer menu modal nav navbar navigation newsletter notice popup promo related share sidebar social sponsored subscribe".split())
 #: Opening one of these ends an open element of the given tags, up to the nearest container.
@@ -51,9 +57,9 @@ class Node:
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.children, self.key = tag, [], b""
-        words = re.findall(r"[a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
+        words = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
         named = tag not in ("html", "body") and (not _MARKS.isdisjoint(words) or (attrs.get("role") or "").lower() in _ROLES)
-        self.marked = tag in _BOILERPLATE or named or "hidden" in attrs
+        self.marked = 2 if tag in _BOILERPLATE or "hidden" in attrs else int(named)  # 1: by name or role only
 
 
 class _Tree(HTMLParser):
@@ -167,21 +173,48 @@ def wrapper(pages: Iterable[str]) -> Counter:
 
 
 def _articles(root: Node) -> list[Node]:
-    found, todo = [], [root]
+    """The outermost unmarked article and main elements, those below the fewest marked elements.
+
+    So a mark on what holds the whole page hides no article, and cards in a sidebar stay out beside one.
+    """
+    found, todo = [], [(root, 0)]
     while todo:
-        node = todo.pop()
+        node, marks = todo.pop()
+        if node.tag in _NO_TEXT:
+            continue
         if node.tag in ("article", "main") and not node.marked:
-            inner = _articles_below(node) if node.tag == "main" else []
-            found += inner or [node]
-        elif not node.marked:
-            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-    return found
+            found.append((marks, node))
+        else:
+            marks += bool(node.marked)
+            todo += [(c, marks) for c in reversed(node.children) if isinstance(c, Node)]
+    least = min((m for m, _ in found), default=0)
+    return [x for m, x in found if m == least]
 
 
-def _articles_below(node: Node) -> list[Node]:
-    box = Node("", {})
-    box.children = node.children
-    return _articles(box)
+def _size(top: Node) -> int:
+    """Characters of text, without what is never shown as text."""
+    n, todo = 0, [top]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            n += len("".join(x.split()))
+        elif x.tag not in _NO_TEXT:
+            todo += x.children
+    return n
+
+
+def _unmark_page_forms(root: Node) -> None:
+    """A form that holds most of a page's text is the page, not a form in it."""
+    forms, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "form":
+            forms.append(x)
+        todo += [c for c in x.children if isinstance(c, Node)]
+    if forms:
+        total = _size(root)
+        for x in forms:
+            x.marked = x.marked if 2 * _size(x) <= total else 0
 
 
 def _heading(node: Node) -> bool:
@@ -194,8 +227,11 @@ def _heading(node: Node) -> bool:
     return False
 
 
-def _text(top: list[Node], template: dict, in_article: bool) -> str:
-    """Text of the trees without boilerplate and template; elements that are not inline end a block."""
+def _text(top: list[Node], template: dict, in_article: bool, least: int = 1) -> str:
+    """Text of the trees without boilerplate and template; elements that are not inline end a block.
+
+    Boilerplate is what is marked ``least`` or more, and elements that never hold shown text.
+    """
     out, todo = [], [(n, None, None, in_article) for n in reversed(top)]
     while todo:
         x, parent, place, inside = todo.pop()
@@ -206,7 +242,7 @@ def _text(top: list[Node], template: dict, in_article: bool) -> str:
             out.append(x)
             continue
         # an article's own header with its title is part of the article
-        if x.marked and not (inside and x.tag == "header" and _heading(x)):
+        if x.tag in _NO_TEXT or x.marked >= least and not (inside and x.tag == "header" and _heading(x)):
             continue
         inside = inside or x.tag in ("article", "main")
         edge = "" if x.tag in _INLINE or x.tag == "wbr" else " "
@@ -226,13 +262,18 @@ def text_of(html: str | None, common: dict[int, int]) -> str:
     if not html:
         return ""
     root = parse(html)
+    _unmark_page_forms(root)
     template = {x: common[n] for n, covered in slots(root) if n in common for x in covered}
     body = _text([root], template, False)
     articles = _articles(root)
     own = _text(articles, template, True) or _text(articles, {}, True)
     if own and (not template or 2 * len(own) >= len(body)):
         return own
-    return body or own or _text([root], {}, False)
+    if body or own:
+        return body or own
+    # all is template or marked: first the template stays, then marks are not believed
+    tries = (_text([root], t, False, least) for least in (1, 2, 3) for t in (template, {}))
+    return next(filter(None, tries), "")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -161,6 +161,23 @@ def test_html_text_beside_cards():
     assert html.main_text(pages[1], tuple(pages)) == "a long text of its own, number 1 and more of it 1 card 1"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout no-sidebar'><article>{}</article></div>",
+        "<div class='sidebar'><article>{}</article></div>",
+        "<article class='post has-comments'>{}</article><aside><article>card</article></aside>",
+        "<form id=aspnet><div>menu</div><article>{}</article></form>",
+        "<form><div>{}</div></form><div class=footer>end</div>",
+        "<div class='share'>{}</div>",
+        "<main><div>{}</div><div class='ad'><article>card</article></div></main>",
+        "<main><div>one two</div><article>three</article></main>",
+    ],
+)
+def test_html_marks_hide_no_text(page):
+    assert html.main_text(f"<body><nav>menu</nav>{page}</body>".format("one two three")) == "one two three"
+
+
 def test_op5_on_all_pages(spark):
     rows = run(spark, "op5_html_main_text")
     pages = {r["page_id"]: r["html"] for r in table(spark, SF, "pages").collect()}
