@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import dedup_norm
 from corpusmill.operators.graph import connected_components
-from corpusmill.session import cut
+from corpusmill.session import cut, text_batches
 
 HASHES, BANDS, SHINGLE, SEED, THRESHOLD = 128, 32, 5, 42, 0.85
+#: Shingles whose hashes a worker keeps, about 1.2 KB each.
+KNOWN = 100_000
 
 
 def shingles(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -26,17 +33,60 @@ def signatures(rows: DataFrame, key: str, text: str, hashes: int = HASHES) -> Da
     return parts.groupBy("id", "i").agg(F.min(hashed).alias("h"))
 
 
+@lru_cache(KNOWN)
+def _hashes(shingle: str, hashes: int) -> np.ndarray:
+    """The first 8 bytes of sha256('seed|i|shingle') by i; a worker keeps them, as texts share most shingles."""
+    raw = [hashlib.sha256(f"{SEED}|{i}|{shingle}".encode()).digest()[:8] for i in range(hashes)]
+    return np.frombuffer(b"".join(raw), ">u8").astype(np.uint64)
+
+
+def sketches(rows: DataFrame, key: str, text: str, hashes: int = HASHES) -> DataFrame:
+    """(id, sig): the values of ``signatures`` of a text as 8 bytes each, most significant first."""
+    kind = rows.schema[key].dataType.simpleString()
+    norm = rows.select(F.col(key).alias("id"), F.coalesce(dedup_norm(text), F.lit("")).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            sigs = []
+            for t in b.column(1).to_pylist():
+                least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
+                for piece in {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}:
+                    np.minimum(least, _hashes(piece, hashes), out=least)
+                sigs.append(least.astype(">u8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
+
+    text_batches(rows.sparkSession, 200)
+    return norm.mapInArrow(run, f"id {kind}, sig binary")
+
+
+def _differing(a: str, b: str, hashes: int) -> Column:
+    return F.expr(f"size(filter(sequence(0, {hashes - 1}), i -> substring({a}, 8 * i + 1, 8) != substring({b}, 8 * i + 1, 8)))")
+
+
 def families(rows: DataFrame, key: str, text: str, hashes: int = HASHES, bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, family): component of the smallest id. Texts of equal signature are one node, so copies make no pairs."""
-    per = hashes // bands
-    packed = signatures(rows, key, text, hashes).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("sig"))
-    packed = cut(packed, "minhash")
+    """(id, family): component of the smallest id. Texts of equal signature are one node, so copies make no pairs.
+
+    The texts of a bucket are compared with its smallest one. Two that are near it are in one family by
+    that; another is compared with those alone whose distance from the smallest one allows them to be near.
+    """
+    per, most = hashes // bands, int(hashes - threshold * hashes + 1e-9)
+    packed = cut(sketches(rows, key, text, hashes), "minhash")
     nodes = cut(packed.groupBy("sig").agg(F.min("id").alias("node")), "minhash-nodes")
-    banded = nodes.select("node", "sig", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.slice("sig", b * per + 1, per)))).alias("band", "bucket"))
-    a, b = banded.alias("a"), banded.alias("b")
-    same = F.size(F.filter(F.zip_with("a.sig", "b.sig", lambda x, y: x == y), lambda x: x))
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node"))).where(same >= threshold * hashes)
-    edges = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.substring("sig", b * (8 * per) + 1, F.lit(8 * per))))
+    banded = nodes.select("node", F.posexplode(pieces).alias("band", "bucket"))
+    first = banded.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sig = lambda node: nodes.select(F.col("node").alias(node), F.col("sig").alias(f"sig_{node}"))
+    # many buckets hold the same pair: its distance is taken once
+    met = banded.join(first, ["band", "bucket"]).where("node != first")
+    stars = met.select("node", "first").distinct().join(sig("node"), "node").join(sig("first"), "first")
+    stars = cut(stars.select("node", "first", _differing("sig_node", "sig_first", hashes).alias("d")), "minhash-stars")
+    met = cut(met.join(stars, ["node", "first"]), "minhash-met")
+    # one of the two at least is far from the first
+    far = met.where(F.col("d") > most).select("band", "bucket", F.col("node").alias("u"), F.col("d").alias("du"))
+    others = met.select("band", "bucket", F.col("node").alias("v"), F.col("d").alias("dv"))
+    pairs = far.join(others, ["band", "bucket"]).where((F.abs(F.col("du") - F.col("dv")) <= most) & (F.col("u") != F.col("v")) & ((F.col("dv") <= most) | (F.col("u") < F.col("v"))))
+    near = pairs.select("u", "v").distinct().join(sig("u"), "u").join(sig("v"), "v").where(_differing("sig_u", "sig_v", hashes) <= most)
+    edges = stars.where(F.col("d") <= most).select(F.col("first").alias("u"), F.col("node").alias("v")).union(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
     found = connected_components(edges).withColumnRenamed("component", "family")
     named = packed.join(nodes, "sig").join(found, "node", "left")
     return named.select("id", F.coalesce("family", "node").alias("family"))

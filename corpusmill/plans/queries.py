@@ -262,6 +262,22 @@ def split_assignment(spark, sf_dir):
 QUERIES["split_assignment"] = split_assignment
 
 
+def document_shingle_counts(spark, sf_dir):
+    """``shingle_counts`` over the corpus; this and the next two are too slow in SQL, tests compare by brute force."""
+    return neardup.shingles(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("id").agg(F.count("*").alias("n"))
+
+
+def document_signatures(spark, sf_dir):
+    return neardup.sketches(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def document_families(spark, sf_dir):
+    return neardup.families(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES |= {f.__name__: f for f in (document_shingle_counts, document_signatures, document_families)}
+
+
 flagship_query =exact_dedup_keep_first
 
 

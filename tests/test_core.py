@@ -1,6 +1,7 @@
 """Core queries against SQL, and the hand-checked cases."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
@@ -78,6 +79,34 @@ def test_families_of_copies(spark):
     assert {tuple(r) for r in neardup.families(rows, "id", "t").collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
 
 
+def test_document_families_are_brute_force(spark):
+    rng = random.Random(5)
+    texts = {}
+    for i in range(120):  # six texts and copies of them with ever more words changed
+        words = [f"w{i % 6}{k}" for k in range(150)]
+        for at in rng.sample(range(150), i // 6):
+            words[at] = f"x{rng.random()}"
+        texts[i] = " ".join(words)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sketch = {r["id"]: bytes(r["sig"]) for r in neardup.sketches(rows, "doc_id", "text").collect()}
+    by_i = neardup.signatures(rows.where("doc_id < 2"), "doc_id", "text").collect()
+    assert all(sketch[r["id"]][8 * r["i"] : 8 * r["i"] + 8].hex() == r["h"] for r in by_i) and len(by_i) == 256
+    family, edges = {i: i for i in texts}, 0
+    for a in texts:
+        for b in range(a):
+            if sum(sketch[a][k : k + 8] == sketch[b][k : k + 8] for k in range(0, 1024, 8)) >= 0.85 * 128:
+                edges += texts[a] != texts[b]
+                x, y = sorted((family[a], family[b]))
+                family = {k: x if f == y else f for k, f in family.items()}
+    got = {r["id"]: r["family"] for r in neardup.families(rows, "doc_id", "text").collect()}
+    assert edges > 20 and got == family
+
+
+def test_document_families_of_the_corpus(spark):
+    rows = core.document_families(spark, SF).collect()
+    assert len(rows) == core.table(spark, SF, "documents").count() > len({r["family"] for r in rows})
+
+
 def test_sentences(spark):
     texts = ["See Dr. Smith, e.g. Today. It rains! 4 drops? yes\nnew line.\n\n(ok). \"So\" it ends.", "a.b. c", "", None, "One. Two etc. Three"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.sentences(F.col("t"))).collect()]
