@@ -36,7 +36,7 @@ MOST = 2.0
 SHARDS = 16
 BLOCKS = 4096
 SEED = 20240611
-#: Documents looked at to make up the last words of a source's part.
+#: Documents whose choice is added to that of a block at once, so that long lists are not copied for each.
 FILL = 256
 
 
@@ -95,16 +95,23 @@ def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
 def _fill(rest: Column, found: Column) -> Column:
     """Of ``found``, an array of (order, size, unit), the units that make up ``rest`` words: each in
     order if it still fits; then the smallest other one if that comes nearer than leaving it."""
-    start = F.struct(rest.alias("rest"), F.expr("cast(array() as array<bigint>)").alias("units"))
-    step = lambda s, x: F.when(
-        x["size"] <= s["rest"], F.struct((s["rest"] - x["size"]).alias("rest"), F.concat(s["units"], F.array(x["unit"])).alias("units"))
-    ).otherwise(s)
+    none = F.expr("cast(array() as array<bigint>)")
+    start = F.struct(rest.alias("rest"), none.alias("units"), F.expr("cast(null as struct<size: bigint, unit: bigint>)").alias("other"))
 
-    def last(s):
-        other = F.array_min(F.transform(F.filter(found, lambda x: ~F.array_contains(s["units"], x["unit"]) & (x["size"] > 0)), lambda x: F.struct(x["size"].alias("size"), x["unit"].alias("unit"))))
-        return F.when(other["size"] - s["rest"] < s["rest"], F.concat(s["units"], F.array(other["unit"]))).otherwise(s["units"])
+    def step(s, x):
+        taken = F.struct((s["rest"] - x["size"]).alias("rest"), F.concat(s["units"], F.array(x["unit"])).alias("units"), s["other"].alias("other"))
+        other = F.when(F.array_contains(s["units"], x["unit"]), s["other"]).otherwise(F.least(s["other"], F.struct(x["size"].alias("size"), x["unit"].alias("unit"))))
+        return F.when(x["size"] <= s["rest"], taken).otherwise(F.struct(s["rest"].alias("rest"), s["units"].alias("units"), other.alias("other")))
 
-    return F.aggregate(found, start, step, last)
+    def part(s, i):
+        own = F.aggregate(F.slice(found, i * FILL + 1, F.lit(FILL)), F.struct(s["rest"].alias("rest"), none.alias("units"), s["other"].alias("other")), step)
+        return F.transform(F.array(own), lambda o: F.struct(o["rest"].alias("rest"), F.concat(s["units"], o["units"]).alias("units"), o["other"].alias("other")))[0]
+
+    def last(s):  # a unit left out is larger than what is left
+        return F.when(s["other"]["size"] - s["rest"] < s["rest"], F.concat(s["units"], F.array(s["other"]["unit"]))).otherwise(s["units"])
+
+    parts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(found) - 1, F.lit(0)) / FILL).cast("int"))
+    return F.aggregate(parts, start, part, last)
 
 
 def plan_blocks(units: DataFrame, per: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -125,8 +132,6 @@ def plan_blocks(units: DataFrame, per: DataFrame, shards: int = SHARDS, seed: in
     inside = Window.partitionBy("src", "block").orderBy(F.xxhash64(F.lit(seed), "unit"), "unit", "size")
     edge = edge.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(inside))
     sure = F.col("end") <= F.col("room")
-    first = F.min(F.when(~sure, F.col("nth"))).over(Window.partitionBy("src", "block"))
-    edge = edge.withColumn("first", first).where(sure | (F.col("nth") < F.col("first") + FILL))
     tail = F.array_sort(F.collect_list(F.when(~sure, F.struct(F.col("nth").alias("nth"), F.col("size").alias("size"), F.col("unit").alias("unit")))))
     edge = edge.groupBy("src", "block").agg(
         F.collect_set(F.when(sure, F.col("unit"))).alias("sure"), tail.alias("tail"),

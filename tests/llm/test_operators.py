@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import __spark_entry__ as entry
-from corpusmill.llm import html, media, packing, simhash, tokencount, topk, warc
+from corpusmill.llm import html, media, mixing, packing, simhash, tokencount, topk, warc
 from corpusmill.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -240,6 +240,31 @@ def test_op9_targets(spark, docs):
     assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in run(spark, "op9_source_mixing")}
 
 
+def test_filling_looks_at_the_whole_block(spark):
+    # one block; the long document does not fit, and what does may come long after it
+    for big in range(6):
+        units = spark.createDataFrame([("=a", 0, i, 10**6 + big if i == 500 + big else 300) for i in range(4000)], "src string, block long, unit long, size long")
+        per = spark.createDataFrame([("=a", 4000, 2199700, 660000.0)], "src string, units long, source_size long, target double")
+        picked = mixing.plan_blocks(units, per, 1).collect()[0]["picked"]
+        assert len(picked) == len(set(picked)) == 2200 and 500 + big not in picked
+
+
+def test_filling_is_the_plain_fold(spark):
+    rng = np.random.default_rng(9)
+    for left in (0, 40, 700, 90000):
+        sizes = [int(x) for x in rng.integers(0, 300, 900)]
+        want, rest, other = [], left, []
+        for i, x in enumerate(sizes):
+            if x <= rest:
+                want, rest = [*want, i], rest - x
+            else:
+                other.append((x, i))
+        if other and min(other)[0] - rest < rest:
+            want.append(min(other)[1])
+        row = spark.createDataFrame([(left, [(i, x, i) for i, x in enumerate(sizes)])], "rest long, found array<struct<nth: int, size: bigint, unit: bigint>>")
+        assert row.select(mixing._fill(row["rest"], row["found"]).alias("u")).first()["u"] == want
+
+
 @pytest.mark.parametrize("block_ids", [3, 1 << 16])
 def test_token_counts(spark, block_ids):
     texts = [None, "", "one", "a b <|endoftext|> c", "word " * 500, "one", None]
