@@ -16,6 +16,7 @@ and null ids are kept; an empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -51,10 +52,15 @@ def _png(data: bytes, at: int):
 
 def _jpeg(data: bytes, at: int):
     pos = at + 2
-    while pos + 4 <= len(data) and data[pos] == 0xFF:
+    while pos + 2 <= len(data) and data[pos] == 0xFF:
         marker = data[pos + 1]
         if marker == 0xD9:
             return "image/jpeg", pos + 2
+        if marker == 0xFF:  # fill byte
+            pos += 1
+            continue
+        if pos + 4 > len(data):
+            return None
         pos += 2 + struct.unpack_from(">H", data, pos + 2)[0]
         if marker == 0xDA:  # entropy-coded data runs to the next marker that is not stuffing or a restart
             while True:
@@ -100,9 +106,22 @@ def _riff(data: bytes, at: int):
 
 
 def _pdf(data: bytes, at: int):
-    end = data.find(b"%%EOF", at)
-    return ("application/pdf", end + 5) if end >= 0 else None
-
+    """Ends at the last end mark whose ``startxref``, counted from ``at``, names a cross-reference: each
+    update adds one. Without any, at the last end mark before the next header."""
+    end = None
+    for m in _XREF_EOF.finditer(data, at):
+        if len(m[1]) < 16 and at + int(m[1]) < m.start() and _XREF.match(data, at + int(m[1])):
+            end = m.end()
+    if end is None:
+        stop = data.find(b"%PDF-", at + 5)
+        last = data.rfind(b"%%EOF", at, stop if stop >= 0 else len(data))
+        last = last if last >= 0 else data.find(b"%%EOF", at)
+        end = last + 5 if last >= 0 else None
+    return ("application/pdf", end) if end else None
+
+
+_XREF_EOF = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+_XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
 
 #: Magic number, validator.
 SIGNATURES = [(_PNG, _png), (b"\xff\xd8\xff", _jpeg), (b"GIF87a", _gif), (b"GIF89a", _gif), (b"RIFF", _riff), (b"%PDF-", _pdf)]

@@ -233,6 +233,27 @@ def test_sniffing():
     assert media.inspect(b"", None)[0] is None and media.inspect(None, "x")[0] is None
 
 
+def pdf_update(start):
+    head = b"1 0 obj <</a 1>> endobj\n"
+    return head + b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % (start + len(head))
+
+
+def test_sniffing_whole_files():
+    jpeg = b"\xff\xd8\xff\xe0" + (16).to_bytes(2, "big") + b"JFIF\0" + bytes(9) + b"\xff\xda" + (8).to_bytes(2, "big") + bytes(6) + b"ab\xff\0c\xff\xd0d\xff\xd9"
+    gif = b"GIF89a" + b"\1\0\1\0\x80\0\0" + bytes(6) + b"\x2c" + bytes(8) + b"\0" + b"\2\2L\1\0" + b";"
+    header = b"%PDF-1.7\n"
+    pdf = header + pdf_update(len(header)) + b"\n"
+    pdf += pdf_update(len(pdf))  # saved twice
+    linear = header + b"1 0 obj <<>> endobj\nstartxref\n0\n%%EOF\n"
+    linear += pdf_update(len(linear))
+    for kind, x in (("image/jpeg", jpeg), ("image/gif", gif), ("application/pdf", pdf), ("application/pdf", linear)):
+        assert media.sniff(x) == [(kind, 0, len(x))]
+        assert media.sniff(b"junk " + x) == [(kind, 5, 5 + len(x))]
+        assert media.inspect(x, "text/plain")[:2] == (kind, True)
+    assert media.sniff(jpeg[:-1]) == []
+    assert media.sniff(pdf + b"\n" + linear) == [("application/pdf", 0, len(pdf)), ("application/pdf", len(pdf) + 1, len(pdf) + 1 + len(linear))]
+
+
 def test_op9_targets(spark, docs):
     rows = run(spark, "op9_source_mixing")
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
