@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import dedup_norm
 from corpusmill.operators.graph import connected_components
-from corpusmill.session import cut, text_batches
+from corpusmill.session import cut, map_batches
 
 HASHES, BANDS, SHINGLE, SEED, THRESHOLD = 128, 32, 5, 42, 0.85
 #: Shingles whose hashes a worker keeps, about 1.2 KB each.
@@ -26,13 +26,6 @@ def shingles(rows: DataFrame, key: str, text: str) -> DataFrame:
     return norm.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("t", i, F.lit(SHINGLE))))).alias("shingle"))
 
 
-def signatures(rows: DataFrame, key: str, text: str, hashes: int = HASHES) -> DataFrame:
-    """(id, i, h): the least of the first 16 hex digits of sha256('seed|i|shingle'); one pass, minima before the shuffle."""
-    parts = shingles(rows, key, text).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
-    hashed = F.substring(F.sha2(F.concat_ws("|", F.lit(str(SEED)), F.col("i").cast("string"), "shingle"), 256), 1, 16)
-    return parts.groupBy("id", "i").agg(F.min(hashed).alias("h"))
-
-
 @lru_cache(KNOWN)
 def _hashes(shingle: str, hashes: int) -> np.ndarray:
     """The first 8 bytes of sha256('seed|i|shingle') by i; a worker keeps them, as texts share most shingles."""
@@ -55,8 +48,13 @@ def sketches(rows: DataFrame, key: str, text: str, hashes: int = HASHES) -> Data
                 sigs.append(least.astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
 
-    text_batches(rows.sparkSession, 200)
-    return norm.mapInArrow(run, f"id {kind}, sig binary")
+    return map_batches(norm, run, f"id {kind}, sig binary", 200)
+
+
+def signatures(rows: DataFrame, key: str, text: str, hashes: int = HASHES) -> DataFrame:
+    """(id, i, h): the least of the first 16 hex digits of sha256('seed|i|shingle') over a text's shingles."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.lower(F.hex(F.substring("sig", i * 8 + 1, F.lit(8)))))
+    return sketches(rows, key, text, hashes).select("id", F.posexplode(parts).alias("i", "h"))
 
 
 def _differing(a: str, b: str, hashes: int) -> Column:

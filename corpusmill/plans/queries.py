@@ -5,23 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import text as T
 from corpusmill.operators import features, metrics, neardup, records, splits, transform
+from corpusmill.plans import questions, steps
+from corpusmill.plans.catalog import ORACLE_SQL, QUERIES, query
 from corpusmill.session import table
 
-TRAIN = "pmod(doc_id, 10) < 7"
-NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-QUERIES = {}
-ORACLE_SQL = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+NUMERIC = steps.NUMERIC
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +43,9 @@ _CELLS = _PRED + ", cells as (select a.y, b.p, (select count(*) from pr where pr
 _TOKENS = """tok as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+(?:''[\\p{L}\\p{N}_]+)?')) token from documents)"""
 
 
+_FOLD = "replace(lower(token), 'ß', 'ss')"
+
+
 @query(f"with {_D2} select coalesce(label, 'none') as label, count(*) n from lab group by 1")
 def label_normalize_counts(spark, sf_dir):
     rows = labelled(spark, sf_dir).select(F.coalesce(records.normal_label("raw_label"), F.lit("none")).alias("label"))
@@ -70,9 +62,29 @@ def exact_dedup_keep_first(spark, sf_dir):
     return records.deduplicate(accepted(spark, sf_dir)).select("raw_hash", "question_id")
 
 
-@query(f"with {_D2} select raw_hash, min(question_id) kept_id, count(*) copies from acc group by 1 having count(distinct label) > 1")
+_PARITY = "c as (select sha256(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) raw_hash, cast(doc_id as varchar) question_id, doc_id % 2 y from documents where text is not null)"
+
+
+def _by_parity(spark, sf_dir) -> DataFrame:
+    """Documents labelled by their number, so that some copies disagree."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    label = F.when(F.col("doc_id") % 2 == 0, "Easy").otherwise("Hard")
+    return records.with_identity(docs.select(F.col("text").alias("question"), F.col("doc_id").cast("string").alias("supplied"), label.alias("label")), supplied="supplied")
+
+
+@query(f"with {_PARITY} select raw_hash, min(question_id) kept_id, count(*) copies from c group by 1 having count(distinct y) > 1")
 def dedup_label_conflicts(spark, sf_dir):
-    return records.duplicate_groups(accepted(spark, sf_dir)).where("conflict").select("raw_hash", "kept_id", "copies")
+    return records.duplicate_groups(_by_parity(spark, sf_dir)).where("conflict").select("raw_hash", "kept_id", "copies")
+
+
+@query(f"with {_PARITY} select min(question_id) question_id from c group by raw_hash having count(distinct y) = 1")
+def dedup_without_conflicts(spark, sf_dir):
+    return records.deduplicate(_by_parity(spark, sf_dir)).select("question_id")
+
+
+@query(f"with {_PARITY} select question_id, raw_hash from c where raw_hash in (select raw_hash from c group by 1 having count(distinct y) > 1)")
+def conflicting_records(spark, sf_dir):
+    return records.conflicting(_by_parity(spark, sf_dir)).select("question_id", "raw_hash")
 
 
 @query("select item_id, sha256(k) raw_hash, substr(sha256(k), 1, 16) question_id from (select item_id, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') k from benchmark)")
@@ -85,56 +97,38 @@ def class_weights(spark, sf_dir):
     return records.class_weights(accepted(spark, sf_dir))
 
 
-@query(f"with {_TOKENS}, a as (select doc_id, count(*) f01, sum(length(token)) s, count(distinct lower(token)) k from tok group by 1) select d.doc_id, coalesce(f01, 0) f01, round(coalesce(s / f01::double, 0), 6) f03, round(coalesce(k / f01::double, 0), 6) f04 from documents d left join a using (doc_id)")
+@query(f"with {_TOKENS}, a as (select doc_id, count(*) f01, sum(length(token)) s, count(distinct {_FOLD}) k from tok group by 1) select d.doc_id, coalesce(f01, 0)::int f01, round(coalesce(s / f01::double, 0), 6) f03, round(coalesce(k / f01::double, 0), 6) f04 from documents d left join a using (doc_id)")
 def lexical_features(spark, sf_dir):
     return features.lexical(table(spark, sf_dir, "documents"))
 
 
-@query(f"with {_TOKENS}, l as (select doc_id, lower(token) token from tok), df as (select token, count(distinct doc_id) df from l where doc_id % 10 < 7 group by 1), a as (select l.doc_id, sum(case when coalesce(df, 0) < 5 then 1 else 0 end) / count(*)::double r from l left join df using (token) group by 1) select d.doc_id, round(coalesce(r, 0), 6) f05 from documents d left join a using (doc_id)")
+@query(f"with {_TOKENS}, l as (select doc_id, {_FOLD} token from tok), df as (select token, count(distinct doc_id) df from l group by 1), a as (select l.doc_id, sum(case when df < 5 then 1 else 0 end) / count(*)::double r from l join df using (token) group by 1) select d.doc_id, round(coalesce(r, 0), 6) f05 from documents d left join a using (doc_id)")
 def rare_word_ratio(spark, sf_dir):
-    return features.rare_word_ratio(table(spark, sf_dir, "documents"), F.expr(TRAIN))
+    docs = table(spark, sf_dir, "documents")
+    return features.rare_word_ratio(docs, docs)
 
 
-_TFIDF = f"""{_TOKENS}, c as (select doc_id, lower(token) token, count(*) n from tok where length(token) >= 2 group by 1, 2),
- fit as (select token, count(*) df, sum(n) cf from c where doc_id % 10 < 7 group by 1),
- voc as (select token, ln((1 + (select count(*) from documents where doc_id % 10 < 7)) / (1.0 + df)::double) + 1 idf from fit where df >= 2 order by cf desc, token limit 50000),
+_TFIDF = """tok as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')) token from documents), c as (select doc_id, token, count(*) n from tok group by 1, 2),
+ fit as (select token, count(*) df, sum(n) cf from c group by 1),
+ voc as (select token, ln((1 + (select count(*) from documents)) / (1.0 + df)::double) + 1 idf from fit where df >= 2 order by cf desc, token limit 50000),
  raw as (select doc_id, token, (1 + ln(n)) * idf as x from c join voc using (token)),
  w as (select doc_id, token, x / sqrt(sum(x * x) over (partition by doc_id)) w from raw)"""
 
 
-@query(f"with {_TFIDF} select round(quantile_cont(w, 0.9), 6) tau, count(*) n from w where doc_id % 10 < 7")
+@query(f"with {_TFIDF} select round(quantile_cont(w, 0.9), 6) tau, count(*) n from w")
 def tfidf_threshold(spark, sf_dir):
-    w = features.tfidf(table(spark, sf_dir, "documents"), F.expr(TRAIN))
-    return w.where(TRAIN).agg(F.round(F.percentile("w", 0.9), 6).alias("tau"), F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    model, w = features.tfidf(docs, docs, threshold=True)
+    return w.agg(F.round(F.lit(model.threshold), 6).alias("tau"), F.count("*").alias("n"))
 
 
 @query(f"with {_TFIDF} select doc_id, round(avg(w), 6) f23, round(max(w), 6) f24, count(*) terms from w group by 1")
 def tfidf_summary(spark, sf_dir):
-    w = features.tfidf(table(spark, sf_dir, "documents"), F.expr(TRAIN))
+    docs = table(spark, sf_dir, "documents")
+    _, w = features.tfidf(docs, docs)
     return w.groupBy("doc_id").agg(F.round(F.avg("w"), 6).alias("f23"), F.round(F.max("w"), 6).alias("f24"), F.count("*").alias("terms"))
 
 
-def _hit(term: str, text: str) -> str:
-    return f"regexp_matches({text}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])" + term.replace("-", " ").replace(" ", "[\\s_-]+") + "([^\\p{L}\\p{N}_]|$)')"
-
-
-#: Parts as short questions with concept words and constraints.
-_D1 = "concat(p_name, case p_partkey % 4 when 0 then ' sort the array with a heap, n <= 10^' || (p_size % 6) when 1 then ' walk the Segment-Tree of a graph; at most 1,000 steps and m < ' || p_size when 2 then ' binary  search over a matrix' else ' what is a derivative?' end)"
-
-
-@query("select p_partkey, " + " + ".join(f"({_hit(t, 'q')})::int" for t in features.CONCEPTS) + " f26, greatest(0, " + ", ".join(f"case when {_hit(t, 'q')} then {w} else 0 end" for w, ts in features.ALGORITHMS.items() for t in ts) + f") f30 from (select p_partkey, {_D1} q from part)")
-def concept_counts(spark, sf_dir):
-    q = table(spark, sf_dir, "part").select("p_partkey", F.expr(_D1).alias("q"))
-    return q.select("p_partkey", T.distinct_phrases("q", features.CONCEPTS).alias("f26"), T.weighted_phrase_max("q", features.ALGORITHMS).alias("f30"))
-
-
-@query(f"select p_partkey, case p_partkey % 4 when 0 then 1 when 1 then 2 else 0 end f32, round(case p_partkey % 4 when 0 then log10(1 + pow(10, p_size % 6)) when 1 then log10(1 + greatest(1000, p_size)) end, 6) f31 from (select *, {_D1} q from part)")
-def constraint_features(spark, sf_dir):
-    q = table(spark, sf_dir, "part").select("p_partkey", T.constraint_matches(F.expr(_D1)).alias("m"))
-    last = F.transform("m", lambda x: T.number(F.element_at(F.regexp_extract_all(x, F.lit(T.NUMBER), F.lit(0)), -1)))
-    return q.select("p_partkey", F.size("m").alias("f32"), F.round(F.log10(1 + F.array_max(last)), 6).alias("f31"))
-
-
 @query("with x as (select label, unnest(embedding)::double v, generate_subscripts(embedding, 1) i, vec_id from embeddings), n as (select label, vec_id, sqrt(sum(v * v)) s from x group by 1, 2), u as (select label, i, sum(v / s) t from x join n using (label, vec_id) where s > 0 group by 1, 2) select label, k as n, round((q - k) / (k * (k - 1.0)), 6) mean_cosine from (select label, sum(t * t) q from u group by 1) join (select label, count(*) k from n where s > 0 group by 1) using (label) where k > 1")
 def pairwise_cosine(spark, sf_dir):
     """Mean cosine over all pairs of a label's vectors, from the length of their sum: no pair is made."""
@@ -203,37 +197,26 @@ def one_hot(spark, sf_dir):
     return out.drop("c_mktsegment")
 
 
-_SPACE = r"[\s\x{a0}\x{2028}\x{2029}\x{3000}\x{2000}-\x{200a}]"
-_ENDS = "regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(^|" + _SPACE + ")(" + "|".join(a.replace(".", "\\.") for a in T.ABBREVIATIONS) + ")', '\\1\\2' || chr(1), 'g'), '([.!?])[ \\t]+([\\p{Lu}\\p{Nd}\"''(\\[])', '\\1' || chr(10) || '\\2', 'g')"
-
-
-@query(f"with {_TOKENS}, a as (select doc_id, count(*) w from tok group by 1), s as (select doc_id, len(list_filter(string_split({_ENDS}, chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g') <> '')) k from documents) select doc_id, k sentences, round(coalesce(w, 0) / greatest(k, 1)::double, 6) f02, k >= 2 multi_segment from s left join a using (doc_id)")
+@query(f"with {_TOKENS}, a as (select doc_id, count(*) w from tok group by 1), s as (select doc_id, len({questions.sentence_sql('text')}) k from documents) select doc_id, k::int sentences, round(coalesce(w, 0) / greatest(k, 1)::double, 6) f02, k >= 2 multi_segment from s left join a using (doc_id)")
 def sentence_features(spark, sf_dir):
     return features.sentence_features(table(spark, sf_dir, "documents"))
 
 
-#: Parts as questions with options: none, three letters, two numbers before a gap, markers that do not count.
-_D1_OPTIONS = "concat('Pick one. ', p_name, case p_partkey % 4 when 1 then concat('\\nA) ', p_name, '\\nB) ', p_type, '\\nC) none of them') when 2 then concat('\\n 1. ', p_brand, '\\n 2. ', p_type, '\\n 4. never') when 3 then '\\na: x\\nb: y' else '' end)"
-_COUNT = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+(?:''[\\p{{L}}\\p{{N}}_]+)?'))"
-
-
-@query(f"with n as (select p_partkey, case p_partkey % 4 when 1 then [{_COUNT.format('p_name')}, {_COUNT.format('p_type')}, 3] when 2 then [{_COUNT.format('p_brand')}, {_COUNT.format('p_type')}] else [] end n from part) select p_partkey, len(n)::int f18, round(list_avg(n), 6) f19, round(list_var_pop(n), 6) f20 from n")
-def option_features(spark, sf_dir):
-    return features.option_features(table(spark, sf_dir, "part").select("p_partkey", F.expr(_D1_OPTIONS).alias("q")), "p_partkey", "q")
-
+_VOWELS = "list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '[aeiouyàâäéèêëíîïóôöúùûü]+'))))"
 
-_TERMS = " + ".join("len(regexp_extract_all(q, '(?i)(?:^|[^\\p{L}\\p{N}_])" + t.replace(" ", "\\s+") + "(?:[^\\p{L}\\p{N}_]|$)'))" for t in features.TECHNICAL)
-_KINDS = " + ".join("regexp_matches(q, '(?i)(^|[^\\p{L}\\p{N}_])" + t.replace(" ", "\\s+") + "([^\\p{L}\\p{N}_]|$)')::int" for t in features.CONCEPTS)
 
+@query(f"with a as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{{L}}\\p{{N}}_]+(?:''[\\p{{L}}\\p{{N}}_]+)?'), lambda x: replace(lower(x), 'ß', 'ss')) w, greatest(1, len({questions.sentence_sql('text')})) k from documents), b as (select doc_id, len(w)::double n, k, list_sum({_VOWELS}) s, len(list_filter({_VOWELS}, lambda x: x >= 3)) h from a) select doc_id, case when n >= 3 then round(206.835 - 1.015 * n / k - 84.6 * s / n, 6) end rd_flesch, case when n >= 3 then round(0.39 * n / k + 11.8 * s / n - 15.59, 6) end rd_fk_grade, case when n >= 3 then round(0.4 * (n / k + 100 * h / n), 6) end rd_fog from b")
+def readability(spark, sf_dir):
+    return features.readability(table(spark, sf_dir, "documents"))
 
-@query(f"select p_partkey, round(({_KINDS}) / greatest(w, 1)::double, 6) f27, round(({_TERMS}) / greatest(w, 1)::double, 6) f28 from (select p_partkey, q, {_COUNT.format('q')} w from (select p_partkey, {_D1} q from part))")
-def phrase_ratios(spark, sf_dir):
-    return features.phrase_ratios(table(spark, sf_dir, "part").select("p_partkey", F.expr(_D1).alias("q")), "p_partkey", "q")
 
-
-@query(f"with {_TFIDF}, v as (select doc_id, round(w, 9) w from w), t as (select round(quantile_cont(w, 0.9), 9) tau from v where doc_id % 10 < 7), h as (select doc_id, count(*) n from v, t where w > tau group by 1) select d.doc_id, coalesce(n, 0) f25 from documents d left join h using (doc_id)")
+#: Weights within a billionth of the threshold may fall on either side of it, so they are compared with a margin on both sides.
+@query(f"with {_TFIDF}, t as (select quantile_cont(w, 0.9) tau from w), h as (select doc_id, count(*) n from w, t where w > tau + 1e-9 group by 1) select d.doc_id, coalesce(n, 0)::int f25 from documents d left join h using (doc_id)")
 def high_tfidf_terms(spark, sf_dir):
-    return features.high_tfidf_terms(table(spark, sf_dir, "documents"), F.expr(TRAIN))
+    docs = table(spark, sf_dir, "documents")
+    model, w = features.tfidf(docs, docs, threshold=True)
+    model.threshold += 1e-9
+    return model.summary(docs, w, "doc_id").select("doc_id", F.col("F25").alias("f25"))
 
 
 @query(f"with {_PRED} select round(avg((conf - (y = 0)::int) ** 2 + ((1 - conf) / 2 - (y = 1)::int) ** 2 + ((1 - conf) / 2 - (y = 2)::int) ** 2), 9) brier from pr")
@@ -278,8 +261,5 @@ def document_families(spark, sf_dir):
 QUERIES |= {f.__name__: f for f in (document_shingle_counts, document_signatures, document_families)}
 
 
-flagship_query =exact_dedup_keep_first
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flagship_query(spark, sf_dir)
+    return exact_dedup_keep_first(spark, sf_dir)

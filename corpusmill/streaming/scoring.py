@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators.features import ALGORITHMS, CONCEPTS, TECHNICAL
+from corpusmill.lexicons import ALGORITHMS, CONCEPTS, TECHNICAL
 
 
 def question_features(questions: DataFrame, text: str = "question") -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill import lexicons as L
 from corpusmill.functions import text as T
 from corpusmill.operators import features, metrics, neardup, records, splits, transform
 from corpusmill.operators.graph import connected_components
@@ -46,17 +47,17 @@ def test_lexical_values(spark):
 
 
 def test_phrases_and_numbers(spark):
-    df = spark.createDataFrame([("a Binary  search tree, treetop; recursion recursion",), ("use segment_tree",)], "q string")
-    r = df.select(T.distinct_phrases("q", features.CONCEPTS).alias("a"), T.weighted_phrase_max("q", features.ALGORITHMS).alias("b"), T.phrase_occurrences("q", ("recursion",)).alias("c")).collect()
-    assert [tuple(x) for x in r] == [(3, 3, 2), (0, 5, 0)]
+    df = spark.createDataFrame([("a Binary  search tree, treetop; recursion recursion",), ("use segment_tree, max flow",), (None,)], "q string")
+    r = df.select(T.distinct_phrases("q", L.CONCEPTS).alias("a"), T.weighted_phrase_max("q", L.ALGORITHMS).alias("b"), T.phrase_occurrences("q", ("recursion",)).alias("c")).collect()
+    assert [tuple(x) for x in r] == [(3, 3, 2), (0, 5, 0), (0, 0, 0)]
     n = spark.createDataFrame([("10^6",), ("1e6",), ("1,000,000",)], "x string").select(T.number(F.col("x"))).collect()
     assert [x[0] for x in n] == [1e6] * 3
 
 
 def test_reject_order_and_ratio(spark):
-    rows = records.with_reason(spark.createDataFrame([("", "easy"), ("x" * 20001, "none"), ("q", None), ("q", " VERY-hard ")], "question string, raw_label string"))
+    rows = records.with_reason(spark.createDataFrame([("", "easy"), ("x" * 20001, "none"), ("q", None), ("q", "\t VERY-hard\u00a0"), ("\t\n", "easy")], "question string, raw_label string"))
     got = rows.select("reason", "label").collect()
-    assert [r["reason"] for r in got] == ["missing_question", "oversized", "unknown_label", None]
+    assert [r["reason"] for r in got] == ["missing_question", "oversized", "unknown_label", None, "missing_question"]
     assert got[3]["label"] == "Hard"
     with pytest.raises(ValueError):
         records.check_reject_ratio(rows)
@@ -114,9 +115,9 @@ def test_sentences(spark):
 
 
 def test_options(spark):
-    texts = ["Stem\n(A) x\n(B) y y\n(C) z", "1. a\n3. b", "A) x\n\nB) y", "Option a x\noption B y", "1. q\n2) r\nb. s", None]
+    texts = ["Stem\n(A) x\n(B) y y\n(C) z", "1. a\n3. b", "A) x\n\nB) y", "Option a x\noption B y", "1. q\n2) r\nb. s", None, "A)\tx\t\n\tB)\ty", "c) p\nd) q", "a: x\nb: y"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.options(F.col("t"))).collect()]
-    assert got == [["x", "y y", "z"], [], [], [], ["q", "r"], []]
+    assert got == [["x", "y y", "z"], [], [], [], ["q", "r"], [], ["x", "y"], ["p", "q"], []]
 
 
 def test_split_is_the_plain_fold(spark):
@@ -176,5 +177,5 @@ def test_json_records(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"question": "q", "label": 1}\n\nnot json\n{"question": "r"\n')
     (tmp_path / "b.json").write_text('[{"question": "q", "label": "1"}]')
     got = json_records.read_records(spark, str(tmp_path / "a.jsonl")).orderBy("line").collect()
-    assert [r["reason"] for r in got] == [None, "malformed_json", "malformed_json"]
+    assert [(r["line"], r["reason"]) for r in got] == [(1, None), (3, "malformed_json"), (4, "malformed_json")]
     assert [r["raw_label"] for r in json_records.read_records(spark, str(tmp_path / "b.json")).collect()] == ["1"]
