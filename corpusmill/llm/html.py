@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut, text_batches
+from corpusmill.session import cut, map_batches
 
 #: A slot on more than this share of a host's distinct pages is template.
 SHARE = 0.5
@@ -278,7 +278,6 @@ def text_of(html: str | None, common: dict[int, int]) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per row of ``pages(page_id, url, html)``."""
-    text_batches(pages.sparkSession, 200)
     host = F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     rows = pages.select("page_id", "url", "html", F.when(host != "", host).alias("host"), F.xxhash64("html").alias("h"))
     kind = pages.schema["page_id"].dataType
@@ -290,7 +289,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     # three narrow columns per slot; equal pages of a host count once
     own = rows.where("host is not null and html is not null").select("host", "h", "html")
-    counted = own.mapInArrow(number, "host string, h long, slots array<long>").select("host", "h", F.explode("slots").alias("slot")).distinct()
+    counted = map_batches(own, number, "host string, h long, slots array<long>", 200).select("host", "h", F.explode("slots").alias("slot")).distinct()
     counted = counted.groupBy("host", "slot").agg(F.count("*").alias("n")).where("n > 1")
     size = own.select("host", "h").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     common = counted.join(size, "host").where(F.col("n") > SHARE * F.col("pages")).groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("common"))
@@ -301,4 +300,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [text_of(h.as_py(), dict(c.as_py() or ())) for h, c in zip(*b.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, f"page_id {kind.simpleString()}, url string, text string, n_chars long")
+    return map_batches(joined, run, f"page_id {kind.simpleString()}, url string, text string, n_chars long", 200)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut, text_batches
+from corpusmill.session import cut, map_batches, named
 
 WIDTH = 576
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -208,18 +208,15 @@ def padded(data: bytes, width: int = WIDTH) -> bytes:
 
 def as_images(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, declared, media)``, written to the shared folder."""
-    text_batches(docs.sparkSession, 200)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            for at in range(0, b.num_rows, 32):
-                part = b.slice(at, 32)
-                raw = [(t or "").encode() for t in part.column(1).to_pylist()]
-                cols = [part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(["application/octet-stream"] * len(raw)), pa.array([png_of(padded(x)) for x in raw], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "declared", "media"])
+            raw = [(t or "").encode() for t in b.column(1).to_pylist()]
+            cols = [b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(["application/octet-stream"] * len(raw)), pa.array([png_of(padded(x)) for x in raw], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "declared", "media"])
 
-    return cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, declared string, media binary"), "media")
+    return cut(map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, n_bytes long, declared string, media binary", 32), "media")
 
 
 _FOUND = [("media_type", pa.string()), ("mismatch", pa.bool_()), ("embedded", pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())]
@@ -245,8 +242,7 @@ def inspect(data: bytes | None, declared: str | None) -> tuple:
 def features(table: DataFrame, keep: list[str], media: str = "media", declared: str = "declared") -> DataFrame:
     """The columns ``keep`` and, per value, its true type, whether it was declared wrongly, embedded
     items, digests and features. ``media_type`` is null for an unknown signature."""
-    text_batches(table.sparkSession, 200)
-    kept = table.select(*keep)
+    kept = table.select(*named(keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + _FOUND_SQL
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -255,4 +251,4 @@ def features(table: DataFrame, keep: list[str], media: str = "media", declared:
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(_FOUND)
             yield pa.RecordBatch.from_arrays(b.columns[:-2] + [pa.array(c, t) for c, (_, t) in zip(cols, _FOUND, strict=True)], names=[*keep, *(n for n, _ in _FOUND)])
 
-    return table.select(*keep, F.col(media).alias("_media"), F.col(declared).alias("_declared")).mapInArrow(run, schema)
+    return map_batches(table.select(*named(keep), F.col(media).alias("_media"), F.col(declared).alias("_declared")), run, schema, 32)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut, text_batches
+from corpusmill.session import cut, map_batches
 
 CAPACITY = 1024
 END = 2
@@ -73,7 +73,6 @@ def encoder(vocabulary: str):
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END, vocabulary: str = "byte_bpe_50k", keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]). Only documents above ``capacity`` are cut;
     then the first piece is the one that may be shorter."""
-    text_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     schema = "piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
 
@@ -99,7 +98,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                         cols, names = [*cols, pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))], [*names, "ids"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, {schema}")
+    return map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind.simpleString()}, {schema}", 256)
 
 
 # --- the plan -------------------------------------------------------------------------------

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut, text_batches
+from corpusmill.session import cut, map_batches
 
 BLOCK_IDS = 1 << 16
 VOCABULARY = "byte_bpe_50k"
@@ -61,7 +61,6 @@ def _encoder(vocabulary: str):
 
 def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: int = SEPARATOR, vocabulary: str = VOCABULARY, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
     """``(file, block, ids)`` and ``(file, ordinal, doc_id)``; a file per task."""
-    text_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType
     schema = f"file int, block long, ids binary, ordinal long, doc_id {kind.simpleString()}"
 
@@ -98,7 +97,7 @@ def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         if n:
             yield from blocks(False)
 
-    both = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema), "token-files")
+    both = cut(map_batches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run, schema, 256), "token-files")
     return both.where("ids is not null").select("file", "block", "ids"), both.where("ordinal is not null").select("file", "ordinal", "doc_id")
 
 
@@ -107,7 +106,6 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
 
     ``start``: ids of the file before the document; ``n_tokens`` leaves out its separator.
     """
-    text_batches(blocks.sparkSession, 64)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -119,7 +117,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
                 cols = [np.full(len(nth), file, np.int32), np.full(len(nth), block, np.int64), nth, np.concatenate(([len(ids)], at)), np.concatenate(([at[-1] if len(at) else -1], [-1], at[:-1])) if len(at) else np.array([-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols[:2]] + [pa.array(c.astype(np.int64)) for c in cols[2:]], names=["file", "block", "nth", "at", "before"])
 
-    found = cut(blocks.select("file", "block", "ids").mapInArrow(run, "file int, block long, nth long, at long, before long"), "token-separators")
+    found = cut(map_batches(blocks.select("file", "block", "ids"), run, "file int, block long, nth long, at long, before long", 64), "token-separators")
     counts = found.groupBy("file", "block").agg(F.max("nth").alias("last_nth"), F.max(F.when(F.col("nth") == -1, F.col("at"))).alias("size"), F.max(F.when(F.col("nth") == -1, F.col("before"))).alias("last"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.withColumn("base", F.coalesce(F.sum("size").over(earlier), F.lit(0)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut, text_batches
+from corpusmill.session import cut, map_batches
 
 ARCHIVE_BYTES = 4 << 20
 STEP = 1 << 16
@@ -121,7 +121,6 @@ def verified(fields: dict[str, str], block: bytes) -> tuple[dict[str, str], byte
 
 def write_archives(pages: DataFrame, revisit_from: int = 0, size: int = ARCHIVE_BYTES) -> DataFrame:
     """``(archive, data)`` for ``pages(page_id, url, html)``, written to the shared folder."""
-    text_batches(pages.sparkSession, 200)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     # only payloads that come more than once; on its own table, so that the join can split a hot payload
@@ -147,7 +146,7 @@ def write_archives(pages: DataFrame, revisit_from: int = 0, size: int = ARCHIVE_
         if held:
             yield flush()
 
-    return cut(rows.mapInArrow(run, "archive string, data binary"), "warc-archives")
+    return cut(map_batches(rows, run, "archive string, data binary", 200), "warc-archives")
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +159,6 @@ def read_archives(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
 
     Sizes and digests of a revisit are those of the payload that it stands for.
     """
-    text_batches(archives.sparkSession, 8)
     schema = "archive string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * keep_payload
 
     def page(name: str | None):
@@ -183,4 +181,4 @@ def read_archives(archives: DataFrame, keep_payload: bool = False) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
 
-    return archives.select("archive", "data").mapInArrow(run, schema)
+    return map_batches(archives.select("archive", "data"), run, schema, 8)
