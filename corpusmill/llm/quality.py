@@ -7,15 +7,21 @@ covariance are estimated; a score is the difference of the two Gaussian log dens
 The fit needs the two classes' counts, sums and cross products only: each task adds up its own
 rows, so labels of any number are used whole and the driver gets a few hundred numbers.
 
+The covariances are shrunk toward the pooled variances by a weight that falls smoothly with a class's rows
+(``shrinkage_weight``), at every number of rows by the same rule: a class of one row has the pooled variances alone.
+Gaussian tails overstate how sure the statistics are; ``TEMPERATURE`` divides the log odds, which leaves their order and
+the even odds where they are and keeps scores graded.
+
 Null and empty texts have the statistics of an empty text and get a score. Rows whose label is
-null or not 0 or 1 take no part in the fit. A document with several label rows counts once for
-each. If a class has no rows, the score is the share of label 1, or 0.5 without any label. Scores
-are rounded to 9 digits, which hides the order in which sums were added.
+null or not 0 or 1 take no part in the fit, nor do labels without a document. A document with several label
+rows counts once for each, as does a label of several rows of a document. If a class has no rows at all, every
+score is the share of label 1, or 0.5 without any label. Scores are rounded to 9 digits, which hides the
+order in which sums were added. Rows repeat as often as they come; a null doc_id is not held out and has no label.
+Extra columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import cut
+from corpusmill.session import cut, free_name, named, vector_total
 
 THRESHOLD = 0.7
-SHRINKAGE = 0.1
+#: Rows a statistic has to have before a class's own covariance counts as much as the pooled variances.
+SHRINKAGE = 0.5
 #: Keeps scores graded where the Gaussian tails are far apart.
 TEMPERATURE = 4.0
 _UPPER = bytes(range(65, 91))
@@ -96,9 +103,14 @@ class Discriminant:
         return np.round(1 / (1 + np.exp(-np.clip(odds, -60, 60))), 9)
 
 
+def shrinkage_weight(n: float, d: int, shrinkage: float = SHRINKAGE) -> float:
+    """Of the pooled variances in a class's covariance, for ``n`` rows of ``d`` statistics; 1 for one row."""
+    return float(min(1.0, (1 + shrinkage * d) / (n + shrinkage * d)))
+
+
 def fit_from_moments(n: np.ndarray, s: np.ndarray, ss: np.ndarray, shrinkage: float = SHRINKAGE) -> Discriminant:
     """``n`` (2,), ``s`` (2, d), ``ss`` (2, d, d): counts, sums and sums of cross products."""
-    if n.min() < 2:
+    if n.min() < 1:
         return Discriminant(None, None, None, float(n[1] / n.sum()) if n.sum() else 0.5)
     d = s.shape[1]
     means = s / n[:, None]
@@ -107,8 +119,7 @@ def fit_from_moments(n: np.ndarray, s: np.ndarray, ss: np.ndarray, shrinkage: fl
     spread = np.maximum(np.diag(pooled), 1e-6)
     roots, dets = [], []
     for c in (0, 1):
-        k = shrinkage * d / (d + n[c]) ** 0.5 if n[c] < 100 * d else shrinkage * 0.2
-        k = min(0.9, max(k, 0.02))
+        k = shrinkage_weight(n[c], d, shrinkage)
         m = (1 - k) * cov[c] + k * np.diag(spread)
         low = np.linalg.cholesky(m)
         roots.append(np.linalg.inv(low))
@@ -116,27 +127,23 @@ def fit_from_moments(n: np.ndarray, s: np.ndarray, ss: np.ndarray, shrinkage: fl
     return Discriminant(means, np.array(roots), np.array(dets), float(np.log(n[1] / n[0])))
 
 
+def usable(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """(doc_id, y) of the label rows that may be learned from."""
+    return labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(~held_out("doc_id"))
+
+
 def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", shrinkage: float = SHRINKAGE) -> Discriminant:
     """``stats``: (doc_id, x). Learns from every label row whose document is not held out."""
-    use = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(~held_out("doc_id"))
-    rows = stats.select(F.col(doc_id).alias("doc_id"), "x").join(use, "doc_id").select("y", "x")
+    rows = stats.select(F.col(doc_id).alias("doc_id"), "x").join(usable(labels, doc_id, label), "doc_id").select("y", "x")
     d, size = WIDTH, 1 + WIDTH + WIDTH * WIDTH
 
-    def part(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros((2, size))
-        for b in batches:
-            if b.num_rows:
-                y = b.column(0).to_numpy(zero_copy_only=False)
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                for c in (0, 1):
-                    z = x[y == c]
-                    total[c] += np.concatenate(([len(z)], z.sum(axis=0), (z.T @ z).ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * size, dtype=np.int32)), pa.array(total.ravel())], names=["cell", "v"])
-
-    total = np.zeros(2 * size)
-    for r in rows.mapInArrow(part, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
-        total[r["cell"]] = r["v"]
-    total = total.reshape(2, size)
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        y = b.column(0).to_numpy(zero_copy_only=False)
+        x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        parts = [(len(z), z.sum(axis=0), (z.T @ z).ravel()) for z in (x[y == c] for c in (0, 1))]
+        return np.concatenate([np.concatenate(([n], s, ss)) for n, s, ss in parts])
+
+    total = vector_total(rows, 2 * size, part).reshape(2, size)
     return fit_from_moments(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d), shrinkage)
 
 
@@ -170,7 +177,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``threshold``."""
-    stats = docs.where(~held_out("doc_id")).select("doc_id", statistics_column("text").alias("x"))
-    model = fit(stats, labels)
-    return docs.withColumn("_score", score_text(model)).where(F.col("_score") >= threshold).drop("_score")
+    """The rows of ``docs``, all columns, that score at least ``threshold``. Statistics for the fit are taken of labelled
+    documents only."""
+    known = usable(labels).select("doc_id").distinct()
+    stats = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id", statistics_column("text").alias("x"))
+    model = fit(cut(stats, "quality-labelled"), labels)
+    score = free_name(docs, "_score")
+    return docs.withColumn(score, score_text(model)).where(F.col(f"`{score}`") >= threshold).select(*named(docs.columns))

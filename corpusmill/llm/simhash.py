@@ -16,7 +16,8 @@ list) never meet in one task.
 
 Null and empty texts, and texts of white space, have fingerprint zero and are linked like any
 other. Rows repeat as often as they come. A null doc_id gets a class but never names one, unless
-the whole class has none: then its class id is null. Extra columns of the input are ignored.
+the whole class has none: then its class id is null. Extra columns may have any names: ``near_duplicates``
+ignores them, ``keep_one`` returns them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.graph import connected_components
-from corpusmill.session import cut
+from corpusmill.session import cut, free_name, named, vector_total
 
 SEED = 42
 RADIUS = 2
@@ -83,18 +84,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
 def _cells(df: DataFrame, width: int, count) -> np.ndarray:
     """Sums of ``count(array of uint64) -> float array of that width`` over all rows, pre-summed by task."""
 
-    def part(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(width)
-        for b in batches:
-            total += count(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
-
-    rows = df.select("fp").mapInArrow(part, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(width)
-    for r in rows:  # width rows at most, whatever the input
-        out[r["cell"]] = r["n"]
-    return out
+    return vector_total(df.select("fp"), width, lambda b: count(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -147,8 +137,10 @@ def choose_plan(stats: dict[int, tuple[list[list[int]], list[list[np.ndarray]]]]
     """The cheapest ``[(bits, threshold)]`` and its estimated work.
 
     ``stats``: for each number of groups the groups, and for each group the histograms of its
-    8-bit chunks. Chunks count as independent of one another: correlated bits share one.
+    8-bit chunks. Chunks count as independent of one another: correlated bits share one. Without rows the
+    plan is that of a single one, which costs probes alone.
     """
+    n = max(n, 1.0)
     best, least = [], math.inf
     for m, (groups, hists) in stats.items():
         cost = []
@@ -324,12 +316,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``root`` names the class by a fingerprint-sized number, ``component_id`` by its smallest doc_id.
     """
-    rows = cut(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))).drop("text"), "simhash-rows")
+    rows = cut(with_fingerprint(docs.select(named([doc_id])[0].alias("doc_id"), F.xxhash64(named([text])[0]).alias("text_hash"), named([text])[0].alias("text"))).drop("text"), "simhash-rows")
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     roots = connected_components(links(fps.select("fp"), radius))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = cut(named.select("fp", "root").join(least, "root"), "simhash-names")
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    names = cut(rooted.select("fp", "root").join(least, "root"), "simhash-names")
     return rows.join(names, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
@@ -341,7 +333,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
     """
     found = near_duplicates(docs, doc_id, text, radius)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
-    kept = rows.join(first, rows[doc_id].eqNullSafe(first["_id"]) & (rows["_text_hash"] == first["_hash"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "_text_hash"]).drop("_text_hash")
+    # the key as one number, which two rows share only if they are equal or their 64-bit digests are
+    key = lambda i, h: F.xxhash64(F.lit(SEED), F.coalesce(i.cast("string"), F.lit("null")), i.isNull(), h)
+    own, other = free_name(docs, "_kept"), free_name(docs, "_rest")
+    first = first.select(key(F.col("k.doc_id"), F.col("k.text_hash")).alias(own))
+    i, t = named([doc_id, text])
+    rows = docs.withColumn(own, key(i, F.xxhash64(t))).join(first, own, "left_semi")
+    # equal keys meet in the join already, so this moves no text; rows that differ in other columns go by those
+    one = Window.partitionBy(own).orderBy(other)
+    return rows.withColumn(other, F.xxhash64(*named(docs.columns))).withColumn(other, F.row_number().over(one)).where(F.col(f"`{other}`") == 1).select(*named(docs.columns))

@@ -261,29 +261,87 @@ def test_op9_targets(spark, docs):
     assert {(r["doc_id"], r["taken"]) for r in rows} == {(r["doc_id"], r["taken"]) for r in run(spark, "op9_source_mixing")}
 
 
-def test_filling_looks_at_the_whole_block(spark):
-    # one block; the long document does not fit, and what does may come long after it
-    for big in range(6):
-        units = spark.createDataFrame([("=a", 0, i, 10**6 + big if i == 500 + big else 300) for i in range(4000)], "src string, block long, unit long, size long")
-        per = spark.createDataFrame([("=a", 4000, 2199700, 660000.0)], "src string, units long, source_size long, target double")
-        picked = mixing.plan_blocks(units, per, 1).collect()[0]["picked"]
-        assert len(picked) == len(set(picked)) == 2200 and 500 + big not in picked
+def test_op9_targets_are_sql(spark):
+    """Sizes, sources and targets by a plain reading of the contract; the words taken are within a document of the target."""
+    rows = table(spark, SF, "documents").select("doc_id", "source").collect()
+    source = {r["doc_id"]: r["source"] for r in rows}
+    got = {r["doc_id"]: r for r in run(spark, "op9_source_mixing")}
+    sizes, largest, taken = defaultdict(int), defaultdict(int), defaultdict(int)
+    for d, r in got.items():
+        sizes[source[d]] += r["size"]
+        taken[source[d]] += r["taken"]
+        largest[source[d]] = max(largest[source[d]], r["size"])
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    target, budget, free = {}, 1.5 * sum(sizes.values()), set(names)
+    while free:  # shares above the cap are cut, and what they leave is shared again
+        level = budget / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        for s in over or free:
+            target[s] = 2 * sizes[s] if over else level * weight[s]
+            budget -= target[s] if over else 0
+        free -= over or free
+    for d, r in got.items():
+        assert r["source_size"] == sizes[source[d]] and abs(r["target"] - target[source[d]]) < 1e-6 * max(1, target[source[d]])
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in names)
+
+
+def taken_of(spark, sizes, budget, **how):
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    return {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs, budget=budget, **how).collect()}
+
+
+@pytest.mark.parametrize("sizes", [[300] * 4000 + [10**6], [1] * 3000, [7, 11, 13] * 700, [10**5] * 3 + [3] * 2000, [0, 5, 0, 9], [4]])
+@pytest.mark.parametrize("share", [0.3, 0.77])
+def test_mix_comes_near_its_target(spark, sizes, share):
+    taken = taken_of(spark, sizes, share)
+    target = share * sum(sizes)
+    near = 3 if len(sizes) > 10 and max(sizes) <= target else max(sizes) / 2
+    assert abs(sum(taken.values()) - target) <= max(near, min((n for n in sizes if n), default=0) / 2) + 1
+
+
+def test_cuts_are_prefix_sums(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 16)  # so that ranges are narrowed several times
+    rng = np.random.default_rng(5)
+    places = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 3000)]
+    places[:900] = [int(x) for x in (places[0] + np.arange(900))]  # a crowded range
+    sizes = [int(x) for x in rng.integers(0, 50, 3000)]
+    units = spark.createDataFrame([(s, p, n) for p, n in zip(places, sizes, strict=True) for s in "ab"], "src string, place long, size long")
+    state = spark.createDataFrame([("a", None, 30000.0, 40.0), ("b", places[10], 10.0**9, 30.0)], "src string, after long, room double, biggest double")
+    got = {r["src"]: (r["upto"], r["taken"]) for r in mixing.move_cuts(units, state).collect()}
+    for src, after, room, most in (("a", None, 30000, 40), ("b", places[10], 10**9, 30)):
+        total, last = 0, after
+        for p, n in sorted(zip(places, sizes, strict=True)):
+            if 0 < n <= most and (after is None or p > after):
+                if total + n > room:
+                    break
+                total, last = total + n, p
+        assert got[src][1] == total and (last <= got[src][0] if after is None else last == got[src][0])
 
 
 def test_filling_is_the_plain_fold(spark):
     rng = np.random.default_rng(9)
     for left in (0, 40, 700, 90000):
         sizes = [int(x) for x in rng.integers(0, 300, 900)]
-        want, rest, other = [], left, []
+        want, rest = [], left
         for i, x in enumerate(sizes):
             if x <= rest:
                 want, rest = [*want, i], rest - x
-            else:
-                other.append((x, i))
-        if other and min(other)[0] - rest < rest:
-            want.append(min(other)[1])
-        row = spark.createDataFrame([(left, [(i, x, i) for i, x in enumerate(sizes)])], "rest long, found array<struct<nth: int, size: bigint, unit: bigint>>")
-        assert row.select(mixing._fill(row["rest"], row["found"]).alias("u")).first()["u"] == want
+        row = spark.createDataFrame([(left, [(i, x) for i, x in enumerate(sizes)])], "rest long, found array<struct<place: bigint, size: bigint>>")
+        assert tuple(row.select(mixing._fill(row["rest"], row["found"]).alias("u")).first()["u"]) == (rest, want)
+
+
+def test_mix_shards_and_names(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}", i, -i, "x") for i in range(600)], "doc_id long, text string, source string, target int, parts int, SHARD string")
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "shard_", "shard_order"]
+    rows = out.collect()
+    assert all(r["target"] == r["doc_id"] and r["parts"] == -r["doc_id"] for r in rows)
+    quota = defaultdict(int)
+    for r in rows:
+        quota[r["shard_"]] += 1
+    assert set(quota) == set(range(16)) and max(quota.values()) <= 2 * min(quota.values()) + 64
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
 
 
 @pytest.mark.parametrize("block_ids", [3, 1 << 16])
