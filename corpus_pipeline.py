@@ -1,7 +1,9 @@
 """Documents to packed training sequences: quality filter, near-dedup, source mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on every row of ``docs``; ``run`` writes each
-stage's rows as Parquet in the shared folder and reads them as the next one's.
+stage's rows as Parquet in the shared folder and reads them as the next one's. Nulls, empty and repeated
+rows, empty tables and extra columns of any name are handled as the operators say; extra columns pass the
+first three stages.
 """
 
 from __future__ import annotations
@@ -9,26 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import mixing, packing, quality, simhash
-from corpusmill.session import cut, table
+from corpusmill.session import cut, named, table
 
 #: A document goes only if it is likelier bad than good.
 REJECT_BELOW = 0.5
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that score ``REJECT_BELOW`` or more."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"), REJECT_BELOW)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
     return simhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).drop("shard", "shard_order")
+    """The mix, a row per copy: shard after shard, each in its shuffled order, which is how the rows are written."""
+    mixed = mixing.mix(docs)
+    shard, order = mixed.columns[-2:]
+    keys = named([shard, order])
+    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*named(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """A row per piece, with its token ids and its place in a training sequence."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup), ("source_mix", source_mix), ("pack", pack)]
