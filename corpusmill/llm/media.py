@@ -15,6 +15,7 @@ and null ids are kept; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
@@ -34,10 +35,10 @@ _PNG = b"\x89PNG\r\n\x1a\n"
 _RIFF = {b"WAVE": "audio/wav", b"WEBP": "image/webp", b"AVI ": "video/x-msvideo"}
 
 
-# --- validators: (data, start) -> (type, end) or None ---------------------------------------
+# --- validators: (data, start, what is known of the value) -> (type, end) or None -------------
 
 
-def _png(data: bytes, at: int):
+def _png(data: bytes, at: int, known: dict):
     pos, first = at + len(_PNG), True
     while pos + 12 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, pos)
@@ -50,54 +51,78 @@ def _png(data: bytes, at: int):
     return None
 
 
-def _jpeg(data: bytes, at: int):
-    pos = at + 2
-    while pos + 2 <= len(data) and data[pos] == 0xFF:
+def _walk(pos: int, known: dict, step) -> int | None:
+    """Follows ``step(pos)``, the next place or (end,) or None, to the item's end. ``known`` keeps the end for every place
+    that was passed, so starts that meet the same structure again do not walk through it again."""
+    passed = []
+    while pos not in known:
+        passed.append(pos)
+        nxt = step(pos)
+        if not isinstance(nxt, int):
+            known[pos] = nxt[0] if nxt else None
+            break
+        pos = nxt
+    end = known[pos]
+    known.update(dict.fromkeys(passed, end))
+    return end
+
+
+def _jpeg(data: bytes, at: int, known: dict):
+    def after_scan(pos: int) -> int | None:
+        """Entropy-coded data runs to the next marker that is not stuffing or a restart."""
+        ends = known.get("markers")
+        if ends is None:
+            ends = known["markers"] = [m.start() for m in _MARKER.finditer(data)]
+        i = bisect.bisect_left(ends, pos)
+        return ends[i] if i < len(ends) else None
+
+    def step(pos: int):
+        if pos + 2 > len(data) or data[pos] != 0xFF:
+            return None
         marker = data[pos + 1]
         if marker == 0xD9:
-            return "image/jpeg", pos + 2
+            return (pos + 2,)
         if marker == 0xFF:  # fill byte
-            pos += 1
-            continue
+            return pos + 1
         if pos + 4 > len(data):
             return None
-        pos += 2 + struct.unpack_from(">H", data, pos + 2)[0]
-        if marker == 0xDA:  # entropy-coded data runs to the next marker that is not stuffing or a restart
-            while True:
-                pos = data.find(b"\xff", pos)
-                if pos < 0 or pos + 1 >= len(data):
-                    return None
-                if data[pos + 1] and not 0xD0 <= data[pos + 1] <= 0xD7:
-                    break
-                pos += 2
-    return None
+        end = pos + 2 + struct.unpack_from(">H", data, pos + 2)[0]
+        return after_scan(end) if marker == 0xDA else end if end > pos else None
+
+    end = _walk(at + 2, known, step)
+    return ("image/jpeg", end) if end else None
 
 
-def _gif(data: bytes, at: int):
+_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]", re.DOTALL)
+
+
+def _gif(data: bytes, at: int, known: dict):
     if at + 13 > len(data):
         return None
-    flags, pos = data[at + 10], at + 13
-    pos += 3 * (2 << (flags & 7)) if flags & 0x80 else 0
-
-    def past_blocks(p: int) -> int:
-        while p < len(data) and data[p]:
-            p += data[p] + 1
-        return p + 1
+    flags = data[at + 10]
 
-    while pos < len(data):
+    def step(pos: int):
+        if pos < 0:  # inside data blocks
+            p = -pos
+            if p >= len(data):
+                return None
+            return -(p + data[p] + 1) if data[p] else p + 1
+        if pos >= len(data):
+            return None
         if data[pos] == 0x3B:
-            return "image/gif", pos + 1
+            return (pos + 1,)
         if data[pos] == 0x21:
-            pos = past_blocks(pos + 2)
-        elif data[pos] == 0x2C and pos + 10 < len(data):
+            return -(pos + 2)
+        if data[pos] == 0x2C and pos + 10 < len(data):
             local = data[pos + 9]
-            pos = past_blocks(pos + 11 + (3 * (2 << (local & 7)) if local & 0x80 else 0))
-        else:
-            return None
-    return None
+            return -(pos + 11 + (3 * (2 << (local & 7)) if local & 0x80 else 0))
+        return None
+
+    end = _walk(at + 13 + (3 * (2 << (flags & 7)) if flags & 0x80 else 0), known, step)
+    return ("image/gif", end) if end else None
 
 
-def _riff(data: bytes, at: int):
+def _riff(data: bytes, at: int, known: dict):
     if at + 12 > len(data):
         return None
     end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
@@ -105,18 +130,26 @@ def _riff(data: bytes, at: int):
     return (kind, end) if kind and at + 12 <= end <= len(data) else None
 
 
-def _pdf(data: bytes, at: int):
+def _pdf(data: bytes, at: int, known: dict):
     """Ends at the last end mark whose ``startxref``, counted from ``at``, names a cross-reference: each
     update adds one. Without any, at the last end mark before the next header."""
-    end = None
-    for m in _XREF_EOF.finditer(data, at):
-        if len(m[1]) < 16 and at + int(m[1]) < m.start() and _XREF.match(data, at + int(m[1])):
+    marks = known.setdefault("marks", None) or [m for m in _XREF_EOF.finditer(data) if len(m[1]) < 16]
+    known["marks"], end = marks, None
+    for m in reversed(marks):  # the last one that fits
+        if m.start() < at:
+            break
+        if at + int(m[1]) < m.start() and _XREF.match(data, at + int(m[1])):
             end = m.end()
+            break
     if end is None:
+        eofs = known.get("eofs")
+        if eofs is None:
+            eofs = known["eofs"] = [m.start() for m in re.finditer(b"%%EOF", data)]
         stop = data.find(b"%PDF-", at + 5)
-        last = data.rfind(b"%%EOF", at, stop if stop >= 0 else len(data))
-        last = last if last >= 0 else data.find(b"%%EOF", at)
-        end = last + 5 if last >= 0 else None
+        i = bisect.bisect_left(eofs, at)
+        last = bisect.bisect_left(eofs, stop) - 1 if stop >= 0 else len(eofs) - 1
+        i = max(i, last)
+        end = eofs[i] + 5 if i < len(eofs) else None
     return ("application/pdf", end) if end else None
 
 
@@ -142,14 +175,16 @@ def _automaton():
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of each valid item, in order."""
-    found, past, limits = [], 0, {}
+    found, past, limits, known = [], 0, {}, {}
     for last, (size, check) in _automaton().iter(data.decode("latin-1")):
         at = last - size + 1
         if at < past:
             continue
-        if check in _LAST and at > limits.setdefault(check, data.rfind(_LAST[check])):
+        if check in _LAST and check not in limits:
+            limits[check] = data.rfind(_LAST[check])
+        if at > limits.get(check, at):
             continue
-        item = check(data, at)
+        item = check(data, at, known.setdefault(check, {}))
         if item:
             found.append((item[0], at, item[1]))
             past = at + 1 if check is _pdf else item[1]

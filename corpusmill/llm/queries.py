@@ -45,7 +45,7 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.features(media.as_images(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "mismatch", F.size("embedded").alias("embedded"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
