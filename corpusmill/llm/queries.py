@@ -27,7 +27,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(*chat.swapped_replies(table(spark, sf_dir, "conversations")))
+    return chat.format_swapped(table(spark, sf_dir, "conversations"))
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
