@@ -421,3 +421,42 @@ def test_many_signatures_take_linear_time():
         media.sniff(x * 2)
     media.sniff((b"GIF89a" + bytes(7) + b"\x21\x01\x01") * 30000 + b"\x00;")
     assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("case", ["lengths", "ties", "repeats", "large", "short"])
+def test_top_k_is_brute_force(spark, monkeypatch, case):
+    """Many blocks and ranges, lengths that allow pruning, ties, repeated rows and ids, values beyond exact doubles, mixed widths."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 8)
+    monkeypatch.setattr(topk, "RANGE", 2)
+    monkeypatch.setattr(topk, "LEAD", 3)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 6)) * np.exp(rng.normal(size=(300, 1)) * (2 if case == "lengths" else 0))
+    ids = list(range(300))
+    if case == "ties":
+        x = np.sign(x[:, :3])
+    elif case == "repeats":
+        x[100:200] = x[0]
+        ids[200:260] = [i % 40 for i in range(60)]
+    elif case == "large":
+        x = x * 1e6
+    rows = [(i, v[: 2 + i % 5].tolist() if case == "short" else v.tolist()) for i, v in zip(ids, x, strict=True)]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(table_, table_["vec_id"] % 20 == 0, k=7).collect()}
+    whole = [(i, [int(np.floor(64 * a)) for a in v]) for i, v in rows]
+    want = {}
+    for q in {i for i in ids if i % 20 == 0}:
+        own = min(v for i, v in whole if i == q)
+        best = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q)[:7]
+        want |= {(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
+def test_top_k_odd_tables(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>, score int, rank string")
+    assert topk.top_k(empty, empty["vec_id"] % 20 == 0).count() == 0
+    one = spark.createDataFrame([(0, [1.0], 1, "x"), (0, [1.0], 1, "x"), (None, [9.0], 1, "x")], empty.schema)
+    assert topk.top_k(one, one["vec_id"] % 20 == 0).count() == 0
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        huge = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")
+        topk.top_k(huge, huge["vec_id"] == 0).collect()
