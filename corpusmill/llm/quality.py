@@ -7,8 +7,8 @@ covariance are estimated; a score is the difference of the two Gaussian log dens
 The fit needs the two classes' counts, sums and cross products only: each task adds up its own
 rows, so labels of any number are used whole and the driver gets a few hundred numbers.
 
-The covariances are shrunk toward the pooled variances by a weight that falls smoothly with a class's rows
-(``shrinkage_weight``), at every number of rows by the same rule: a class of one row has the pooled variances alone.
+The covariances are shrunk toward the variances of all labelled rows by a weight that falls smoothly with a class's rows
+(``shrinkage_weight``), at every number of rows by the same rule: a class of one row has those variances alone.
 Gaussian tails overstate how sure the statistics are; ``TEMPERATURE`` divides the log odds, which leaves their order and
 the even odds where they are and keeps scores graded.
 
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut, free_name, named, vector_total
 
 THRESHOLD = 0.7
-#: Rows a statistic has to have before a class's own covariance counts as much as the pooled variances.
-SHRINKAGE = 0.5
+#: Rows for each statistic that a class needs before its own covariance counts as much as the common variances.
+SHRINKAGE = 0.1
 #: Keeps scores graded where the Gaussian tails are far apart.
 TEMPERATURE = 4.0
 _UPPER = bytes(range(65, 91))
@@ -104,7 +104,7 @@ class Discriminant:
 
 
 def shrinkage_weight(n: float, d: int, shrinkage: float = SHRINKAGE) -> float:
-    """Of the pooled variances in a class's covariance, for ``n`` rows of ``d`` statistics; 1 for one row."""
+    """Of the common variances in a class's covariance, for ``n`` rows of ``d`` statistics; 1 for one row."""
     return float(min(1.0, (1 + shrinkage * d) / (n + shrinkage * d)))
 
 
@@ -115,8 +115,10 @@ def fit_from_moments(n: np.ndarray, s: np.ndarray, ss: np.ndarray, shrinkage: fl
     d = s.shape[1]
     means = s / n[:, None]
     cov = ss / n[:, None, None] - means[:, :, None] * means[:, None, :]
-    pooled = (cov * n[:, None, None]).sum(axis=0) / n.sum()
-    spread = np.maximum(np.diag(pooled), 1e-6)
+    # variances of all labelled rows, with one row more of unit variance, which counts where there are few
+    centre = s.sum(axis=0) / n.sum()
+    whole = np.diag(ss.sum(axis=0)) / n.sum() - centre * centre
+    spread = (np.maximum(whole, 0) * n.sum() + 1) / (n.sum() + 1)
     roots, dets = [], []
     for c in (0, 1):
         k = shrinkage_weight(n[c], d, shrinkage)
