@@ -7,7 +7,7 @@ chosen side; the turns from there on are that side's completion. The result is l
 row per rendered message with its character range in ``prompt + completion``.
 
 Training masks: only the assistant's text in a completion is trained on (``train_from`` and
-``train_to`` are its range); elsewhere both are null.
+``train_to`` are its range); elsewhere the range is empty, both its ends at the message's end.
 
 Scale: prefixes and offsets are worked out on references, which hold a 64-bit digest and a length
 in place of role and text, and which are dealt out once, by conversation and block of ``BLOCK`` turns;
@@ -89,7 +89,7 @@ def place(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     rows = rows.withColumns({"start": first + F.coalesce(F.sum(F.col("n") * F.col("size")).over(inside), F.lit(0)), "nth": F.coalesce(F.sum("n").over(at_turn), F.lit(0)) + 1})
     trained = (F.col("part") != "prompt") & F.col("trained")
     text_from = F.col("start") + F.col("head")
-    return rows.select("pair_id", "part", "turn", "nth", "n", "src", "at", "h", "start", "size", F.when(trained, text_from).alias("train_from"), F.when(trained, text_from + F.col("chars")).alias("train_to"))
+    return rows.select("pair_id", "part", "turn", "nth", "n", "src", "at", "h", "start", "size", F.when(trained, text_from).otherwise(F.col("start") + F.col("size")).alias("train_from"), F.when(trained, text_from + F.col("chars")).otherwise(F.col("start") + F.col("size")).alias("train_to"))
 
 
 def render(placed: DataFrame, messages: DataFrame) -> DataFrame:

@@ -31,11 +31,11 @@ an empty one. Trees may be of any depth. Slots are told apart by 64-bit digests.
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from hashlib import blake2b as _blake2b
 from html.parser import HTMLParser
 
 import numpy as np
@@ -70,9 +70,10 @@ class Node:
 
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.children, self.key, self.blocks, self.shape, self.size = tag, [], b"", [], "", 1
-        words = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
-        names = sorted(_MARKS.intersection(words)) + sorted(_ROLES.intersection([(attrs.get("role") or "").lower()]))
-        self.name = " ".join(names) if tag not in ("html", "body") else ""
+        self.name = ""
+        if attrs and tag not in ("html", "body"):
+            words = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+            self.name = " ".join(sorted(_MARKS.intersection(words)) + sorted(_ROLES.intersection([(attrs.get("role") or "").lower()])))
         self.marked = 2 if tag in _BOILERPLATE or "hidden" in attrs else int(bool(self.name))  # 1: by name or role only
 
 
@@ -111,7 +112,7 @@ class _Tree(HTMLParser):
 
 
 def _digest(*parts: bytes) -> bytes:
-    return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
+    return _blake2b(b"\0".join(parts), digest_size=8).digest()
 
 
 def parse(html: str) -> Node:
@@ -283,6 +284,8 @@ class Matcher:
             a, b = todo.pop()
             out[id(a)] = b
             xs, ys = a.blocks, b.blocks
+            if not xs or not ys:
+                continue
             same = lambda x, y: x.shape == y.shape and x.key == y.key
             low = 0  # equal ones at both ends are matched in some best matching
             while low < min(len(xs), len(ys)) and same(xs[low], ys[low]):
@@ -293,7 +296,13 @@ class Matcher:
             todo += zip(xs[:low], ys[:low], strict=True)
             todo += zip(xs[len(xs) - high :], ys[len(ys) - high :], strict=True)
             xs, ys = xs[low : len(xs) - high], ys[low : len(ys) - high]
-            todo += [(xs[i], ys[j]) for i, j in in_order(self._rows(xs, ys, True), len(xs), len(ys))]
+            if not xs or not ys:
+                continue
+            keys = {y.key for y in ys if y.key}
+            if len({c.shape for c in (*xs, *ys)}) == 1 and not any(x.key in keys for x in xs):
+                todo += zip(xs, ys, strict=False)  # all pairs weigh the same
+            else:
+                todo += [(xs[i], ys[j]) for i, j in in_order(self._rows(xs, ys, True), len(xs), len(ys))]
         return out
 
 

@@ -162,7 +162,7 @@ def test_op2_is_plain_rendering(spark):
             for r in own:
                 assert r["start"] == at and r["end"] == at + len(r["segment"])
                 trained = part != "prompt" and r["role"] == "assistant"
-                assert (r["train_from"], r["train_to"]) == ((at + len("<|assistant|>\n"), r["end"] - len("<|end|>\n")) if trained else (None, None))
+                assert (r["train_from"], r["train_to"]) == ((at + len("<|assistant|>\n"), r["end"] - len("<|end|>\n")) if trained else (r["end"], r["end"]))
                 at = r["end"]
             assert [r["turn"] for r in own] == sorted(r["turn"] for r in own)
             numbers = defaultdict(list)

@@ -4,18 +4,19 @@ import gzip
 import hashlib
 import io
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 import __spark_entry__ as entry
-from corpusmill.llm import html, media, mixing, packing, simhash, tokencount, topk, warc
+from corpusmill.llm import html, media, mixing, packing, queries, simhash, tokencount, topk, warc
 from corpusmill.session import table
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, url string"
 
 
 @pytest.fixture(scope="module")
@@ -354,6 +355,27 @@ def test_token_counts(spark, block_ids):
     assert tokencount.token_counts(rows.where("false")).count() == 0
 
 
+def test_op10_is_the_tokenizers_library(spark, docs):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True  # their names are ordinary text
+    assert {r["doc_id"]: r["n_tokens"] for r in run(spark, "op10_token_counts")} == {d: len(t.encode(x or "", add_special_tokens=False).ids) for d, x in docs.items()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
+    got = queries.QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
+    want = con.execute(queries.ORACLE_SQL[name]).to_arrow_table()
+    assert sorted(want.column_names) == cols
+    assert Counter(tuple(r) for r in got.select(*cols).collect()) == Counter(zip(*(want.column(c).to_pylist() for c in cols)))
+
+
 def test_unended_document(spark):
     blocks = spark.createDataFrame([(0, 0, np.array([1, 9, 2], "<u4").tobytes()), (0, 1, np.array([3, 4], "<u4").tobytes())], "file int, block long, ids binary")
     got = [tuple(r) for r in tokencount.scan(blocks, separator=9).orderBy("ordinal").collect()]
@@ -372,7 +394,7 @@ def test_op2_offsets(spark):
         for r in sorted(parts, key=lambda r: r["start"]):
             assert r["start"] == at and r["end"] - at == len(r["segment"])
             at = r["end"]
-            assert (r["train_from"] is not None) == (r["part"] != "prompt" and r["role"] == "assistant")
+            assert (r["train_from"] < r["train_to"]) == (r["part"] != "prompt" and r["role"] == "assistant" and r["segment"] != "<|assistant|>\n<|end|>\n")
 
 
 def warc_record(fields, block, gz=True):
