@@ -43,8 +43,8 @@ END = 2
 #: Lengths above this share of the capacity are large.
 LARGE = 1 / 8
 GROUPS = 128
-#: Pieces of one length that a task numbers, about.
-SHARE = 1 << 16
+#: Pieces of one length in a bucket, about: with their ids some megabytes.
+SHARE = 1 << 10
 SPECIAL = "<|endoftext|>"
 
 

@@ -34,6 +34,8 @@ from corpusmill.session import cut, free_name, named, vector_total
 THRESHOLD = 0.7
 #: Rows for each statistic that a class needs before its own covariance counts as much as the common variances.
 SHRINKAGE = 0.1
+#: Ids of labelled documents that go to every executor whole, 8 bytes each.
+KNOWN = 1 << 21
 #: Keeps scores graded where the Gaussian tails are far apart.
 TEMPERATURE = 4.0
 _UPPER = bytes(range(65, 91))
@@ -179,10 +181,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least ``threshold``. Statistics for the fit are taken of labelled
-    documents only."""
-    known = usable(labels).select("doc_id").distinct()
-    stats = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id", statistics_column("text").alias("x"))
-    model = fit(cut(stats, "quality-labelled"), labels)
+    """The rows of ``docs``, all columns, that score at least ``threshold``. Texts are not moved: statistics for the fit are
+    taken of labelled documents only where their ids fit into ``KNOWN``, else of all."""
+    known = cut(usable(labels).select("doc_id").distinct(), "quality-known")
+    rows = docs.select("doc_id", "text").where(~held_out("doc_id"))
+    if known.count() <= KNOWN:  # beyond that, statistics of all are cheaper than moving texts
+        rows = rows.join(F.broadcast(known), "doc_id", "left_semi")
+    model = fit(cut(rows.select("doc_id", statistics_column("text").alias("x")), "quality-labelled"), labels)
     score = free_name(docs, "_score")
     return docs.withColumn(score, score_text(model)).where(F.col(f"`{score}`") >= threshold).select(*named(docs.columns))
