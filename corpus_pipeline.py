@@ -9,6 +9,7 @@ first three stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.llm import mixing, packing, quality, simhash
 from corpusmill.session import cut, named, table
@@ -28,11 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix, a row per copy: shard after shard, each in its shuffled order, which is how the rows are written."""
+    """The mix, a row per copy: ranges of the shards' shuffled orders, dealt to tasks and written in order."""
     mixed = mixing.mix(docs)
-    shard, order = mixed.columns[-2:]
-    keys = named([shard, order])
-    return mixed.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*named(docs.columns))
+    shard, order = named(mixed.columns[-2:])
+    return mixed.repartition(shard, F.shiftright(order, 56)).sortWithinPartitions(shard, order).select(*named(docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
