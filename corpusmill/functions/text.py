@@ -44,14 +44,26 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
     return one, many
 
 
+@functools.cache
+def _suspects() -> str:
+    """A few ranges of characters that hold all those of ``_folds`` but the sharp s, and some others."""
+    ranges: list[list[int]] = []
+    for c in sorted(ord(c) for table in _folds() for c in table if c != "ß"):
+        if ranges and c < 0x250 and c == ranges[-1][1] + 1 or ranges and c >= 0x250 and c <= ranges[-1][1] + 64:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+
+
 def fold(text: Column) -> Column:
     """Case folding: lower case, and what full folding changes beyond it."""
     one, many = _folds()
-    low = F.translate(F.lower(text), "".join(one), "".join(one.values()))
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     pairs = F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in many.items()))
-    # few texts hold such a character; only those are gone through
-    full = F.aggregate(pairs, low, lambda s, p: F.replace(s, p[0], p[1]))
-    return F.when(low.rlike(f"[{''.join(many)}]"), full).otherwise(low)
+    # few texts hold any other such character; only those are gone through
+    full = F.aggregate(pairs, F.translate(low, "".join(one), "".join(one.values())), lambda s, p: F.replace(s, p[0], p[1]))
+    return F.when(low.rlike(_suspects()), full).otherwise(low)
 
 
 def words(text: str | Column) -> Column:
