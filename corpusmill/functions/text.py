@@ -22,10 +22,15 @@ SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]
 OPTIONS = (2, 12)
 
 
+def normal_form(t: str) -> str:
+    """NFKC, white space runs to one space, stripped, casefolded."""
+    return " ".join(unicodedata.normalize("NFKC", t).split()).casefold()
+
+
 @F.pandas_udf(StringType())
 def dedup_norm(texts):
-    """NFKC, white space runs to one space, stripped, casefolded; null stays null."""
-    return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
+    """``normal_form``; null stays null."""
+    return texts.map(lambda t: None if t is None else normal_form(t))
 
 
 def strip(text: Column) -> Column:

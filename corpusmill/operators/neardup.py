@@ -3,20 +3,61 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import dedup_norm
+from corpusmill.functions.text import dedup_norm, normal_form
 from corpusmill.operators.graph import connected_components
 from corpusmill.session import cut, map_batches
 
 HASHES, BANDS, SHINGLE, SEED, THRESHOLD = 128, 32, 5, 42, 0.85
-#: Shingles whose hashes a worker keeps, about 1.2 KB each.
-KNOWN = 100_000
+#: Shingles whose small hashes a worker keeps, about 0.4 KB each; those used least make room for others.
+KNOWN = 500_000
+#: Shingles of short texts whose hashes a worker keeps, about 1.2 KB each.
+WHOLE = 20_000
+#: Characters gone through at once.
+STEP = 1 << 19
+#: A text's minima are looked for among hashes below 2 ** -bits of all, at first with the most bits that leave ``ENOUGH`` of them to each.
+LEVELS, ENOUGH = (7, 5, 3), 16
+#: Hashes of a shingle below a level's limit, on the average, from which on fewer characters are gone through at once.
+LEVEL_HASHES = 2
+
+
+def _rows(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return rows.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
+
+
+def _pieces(t: str) -> set[str]:
+    return {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}
+
+
+def _groups(texts: dict[int, str], step: int) -> Iterator[tuple[np.ndarray, pa.DictionaryArray]]:
+    """(text, piece as UTF-32) of every position of texts that have a whole piece, about ``step`` positions at a time."""
+    held, room = [], step
+    for d, t in texts.items():
+        for at in range(0, len(t) - SHINGLE + 1, step):
+            part = t[at : at + step + SHINGLE - 1]
+            if held and len(part) > room:
+                yield _windows(held)
+                held, room = [], step
+            held.append((d, part))
+            room -= len(part)
+    if held:
+        yield _windows(held)
+
+
+def _windows(parts: list[tuple[int, str]]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    codes = np.frombuffer("".join(p for _, p in parts).encode("utf-32-le"), np.uint32)
+    n = np.array([len(p) - SHINGLE + 1 for _, p in parts])
+    at = np.arange(n.sum()) + np.repeat((SHINGLE - 1) * np.arange(len(n)), n)  # none begins in one part and ends in the next
+    raw = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, SHINGLE)[at])
+    return np.repeat(np.array([d for d, _ in parts]), n), pa.Array.from_buffers(pa.binary(4 * SHINGLE), len(raw), [None, pa.py_buffer(raw)]).dictionary_encode()
 
 
 def shingles(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -26,29 +67,132 @@ def shingles(rows: DataFrame, key: str, text: str) -> DataFrame:
     return norm.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("t", i, F.lit(SHINGLE))))).alias("shingle"))
 
 
-@lru_cache(KNOWN)
+def _hashed(pieces: list[str], hashes: int) -> np.ndarray:
+    """The first 8 bytes of sha256('seed|i|shingle') by shingle and i."""
+    before, sha = [f"{SEED}|{i}|".encode() for i in range(hashes)], hashlib.sha256
+    raw = b"".join([sha(p + s).digest() for s in map(str.encode, pieces) for p in before])
+    return np.frombuffer(raw, ">u8").reshape(len(pieces), hashes, 4)[:, :, 0].astype(np.uint64)
+
+
+@lru_cache(WHOLE)
 def _hashes(shingle: str, hashes: int) -> np.ndarray:
-    """The first 8 bytes of sha256('seed|i|shingle') by i; a worker keeps them, as texts share most shingles."""
-    raw = [hashlib.sha256(f"{SEED}|{i}|{shingle}".encode()).digest()[:8] for i in range(hashes)]
-    return np.frombuffer(b"".join(raw), ">u8").astype(np.uint64)
+    return _hashed([shingle], hashes)[0]
+
+
+class _Known:
+    """The small hashes of the shingles that a worker met, least first, so a text need not look at all of them."""
+
+    def __init__(self, hashes: int):
+        self.hashes, self.ids = hashes, {}
+        # these have room at their ends
+        self.start, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.below = np.zeros((1, len(LEVELS)), np.int16)
+        self.i, self.h = np.zeros(1, np.int16), np.zeros(1, np.uint64)
+        self.end = 0
+
+    def find(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of the pieces, each given once; those not met before are hashed."""
+        found = self._numbers(pieces)
+        if (found < 0).any() and self.ids and len(self.ids) + (found < 0).sum() > KNOWN:
+            self._make_room()
+            found = self._numbers(pieces)
+        new = np.flatnonzero(found < 0)
+        for at in range(0, len(new), 1000):
+            self._add([pieces[k] for k in new[at : at + 1000].tolist()])
+        found[new] = np.arange(len(self.ids) - len(new), len(self.ids))
+        self.used[found] += 1
+        return found
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def _add(self, pieces: list[bytes]) -> None:
+        below, i, h = self._small(pieces)
+        n, m = len(self.ids), len(self.ids) + len(pieces)
+        self.ids |= zip(pieces, range(n, m), strict=True)
+        self.start, self.used, self.below = _put(self.start, n, self.end + np.cumsum(below[:, -1]) - below[:, -1]), _put(self.used, n, np.zeros(m - n, np.int64)), _put(self.below, n, below)
+        self.i, self.h = _put(self.i, self.end, i), _put(self.h, self.end, h)
+        self.end += len(h)
+
+    def _small(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h = _hashed([p.decode("utf-32-le") for p in pieces], self.hashes)
+        order = np.argsort(h, axis=1)
+        h = np.take_along_axis(h, order, axis=1)
+        below = np.stack([(h < _limit(bits)).sum(axis=1) for bits in LEVELS], axis=1)
+        kept = np.arange(self.hashes) < below[:, -1:]
+        return below, order[kept].astype(np.int16), h[kept]
+
+    def _make_room(self) -> None:
+        """Keeps the three quarters of the shingles that were used most."""
+        kept = np.sort(np.argsort(-self.used[: len(self.ids)], kind="stable")[: KNOWN * 3 // 4])
+        at, n = self._entries(kept, len(LEVELS) - 1)
+        names = list(self.ids)
+        self.ids = {names[k]: m for m, k in enumerate(kept.tolist())}
+        self.used, self.below, self.i, self.h = self.used[kept] // 2, self.below[kept], self.i[at], self.h[at]
+        self.start, self.end = np.cumsum(n) - n, len(at)
+
+    def _entries(self, found: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the hashes of a level are, shingle by shingle, and how many each has."""
+        n = self.below[found, level].astype(np.int64)
+        return np.arange(n.sum()) + np.repeat(self.start[found] - np.cumsum(n) + n, n), n
+
+    def least(self, out: np.ndarray, texts: dict[int, str], level: int) -> None:
+        """Lowers the rows ``out[d]`` to the hashes of that level of the texts' shingles."""
+        for d, piece in _groups(texts, STEP * LEVEL_HASHES // max(LEVEL_HASHES, self.hashes >> LEVELS[level])):
+            each = np.frombuffer(piece.dictionary.buffers()[1], f"V{4 * SHINGLE}", len(piece.dictionary)).tolist()
+            found = self.find(each)[piece.indices.to_numpy()]
+            at, n = self._entries(found, level)
+            np.minimum.at(out.reshape(-1), np.repeat(d * self.hashes, n) + self.i[at], self.h[at])
+
+
+def _put(held: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` from ``at`` on, of twice the length where it is too short."""
+    if at + len(more) > len(held):
+        held = np.concatenate([held[:at], np.zeros((max(len(held), at + len(more)), *held.shape[1:]), held.dtype)])
+    held[at : at + len(more)] = more
+    return held
+
+
+def _limit(bits: int) -> np.uint64:
+    return np.uint64(1 << (64 - bits))
+
+
+@lru_cache(4)
+def _known(hashes: int) -> _Known:
+    return _Known(hashes)
+
+
+def _signatures(texts: list[str], hashes: int) -> np.ndarray:
+    """By text and i, the least hash of a shingle.
+
+    A minimum below a level's limit is right whatever the other hashes are; texts with one that is not go
+    on to the next level, and at last all hashes of their shingles are taken.
+    """
+    out = np.full((len(texts), hashes), np.iinfo(np.uint64).max, np.uint64)
+    todo = dict(enumerate(texts))
+    for level, bits in enumerate(LEVELS):
+        now = {d: t for d, t in todo.items() if len(t) > ENOUGH << bits}
+        _known(hashes).least(out, now, level)
+        for d in now:
+            if (out[d] < _limit(bits)).all():
+                del todo[d]
+    for d, t in todo.items():
+        for piece in _pieces(t):
+            np.minimum(out[d], _hashes(piece, hashes), out=out[d])
+    return out
 
 
 def sketches(rows: DataFrame, key: str, text: str, hashes: int = HASHES) -> DataFrame:
     """(id, sig): the values of ``signatures`` of a text as 8 bytes each, most significant first."""
-    kind = rows.schema[key].dataType.simpleString()
-    norm = rows.select(F.col(key).alias("id"), F.coalesce(dedup_norm(text), F.lit("")).alias("t"))
 
     def run(batches):
         for b in batches:
-            sigs = []
-            for t in b.column(1).to_pylist():
-                least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
-                for piece in {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}:
-                    np.minimum(least, _hashes(piece, hashes), out=least)
-                sigs.append(least.astype(">u8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], names=["id", "sig"])
+            texts = [normal_form(t) for t in b.column(1).to_pylist()]
+            at = {t: n for n, t in enumerate(dict.fromkeys(texts))}  # copies are gone through once
+            sigs = [s.tobytes() for s in _signatures(list(at), hashes).astype(">u8")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sigs[at[t]] for t in texts], pa.binary())], names=["id", "sig"])
 
-    return map_batches(norm, run, f"id {kind}, sig binary", 200)
+    return map_batches(_rows(rows, key, text), run, f"id {rows.schema[key].dataType.simpleString()}, sig binary", 400)
 
 
 def signatures(rows: DataFrame, key: str, text: str, hashes: int = HASHES) -> DataFrame:
@@ -61,30 +205,73 @@ def _differing(a: str, b: str, hashes: int) -> Column:
     return F.expr(f"size(filter(sequence(0, {hashes - 1}), i -> substring({a}, 8 * i + 1, 8) != substring({b}, 8 * i + 1, 8)))")
 
 
+def _bounds(hashes: int, bands: int, most: int) -> list[tuple[int, int]]:
+    """The pieces of a signature that are looked up whole.
+
+    Where every pair that differs in ``most`` places has a band in common anyhow, it has one of ``most`` + 1
+    longer pieces in common too; these find the same pairs, among fewer others.
+    """
+    if most < bands:
+        return [(hashes * k // (most + 1), hashes * (k + 1) // (most + 1)) for k in range(most + 1)]
+    return [(k * (hashes // bands), (k + 1) * (hashes // bands)) for k in range(bands)]
+
+
+def _briefs(batches):
+    """(node, sig, brief): four bits of each value of a signature, sixteen values a word."""
+    for b in batches:
+        low = (np.frombuffer(b"".join(b.column("sig").to_pylist()), ">u8").reshape(b.num_rows, -1) & 15).astype(np.uint64)
+        low = np.pad(low, ((0, 0), (0, -low.shape[1] % 16))).reshape(b.num_rows, -1, 16)
+        words = np.bitwise_or.reduce(low << (4 * np.arange(16, dtype=np.uint64)), axis=2).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sig"), pa.array(list(words), pa.list_(pa.int64()))], names=["node", "sig", "brief"])
+
+
+def _maybe_near(a: str, b: str, hashes: int, most: int) -> Column:
+    """Whether two briefs differ in ``most`` places at most; they never differ in more than their signatures do."""
+    x = [f"({a}[{k}] ^ {b}[{k}])" for k in range(-(-hashes // 16))]
+    differ = [f"bit_count(({w} | shiftrightunsigned({w}, 1) | shiftrightunsigned({w}, 2) | shiftrightunsigned({w}, 3)) & {0x1111111111111111}L)" for w in x]
+    # a quarter tells most pairs apart
+    return F.expr(f"{' + '.join(differ[: -(-len(x) // 4)])} <= {most} and {' + '.join(differ)} <= {most}")
+
+
 def families(rows: DataFrame, key: str, text: str, hashes: int = HASHES, bands: int = BANDS, threshold: float = THRESHOLD) -> DataFrame:
     """(id, family): component of the smallest id. Texts of equal signature are one node, so copies make no pairs.
 
-    The texts of a bucket are compared with its smallest one. Two that are near it are in one family by
-    that; another is compared with those alone whose distance from the smallest one allows them to be near.
+    The texts of a bucket are compared with its smallest one, and those found near are joined to components.
+    In a bucket, texts of another component than its smallest one's are then compared with all texts that are not
+    of their own. Pairs whose briefs already differ too much never meet as signatures.
     """
-    per, most = hashes // bands, int(hashes - threshold * hashes + 1e-9)
+    most = int(hashes - threshold * hashes + 1e-9)
+    kind = rows.schema[key].dataType.simpleString()
     packed = cut(sketches(rows, key, text, hashes), "minhash")
-    nodes = cut(packed.groupBy("sig").agg(F.min("id").alias("node")), "minhash-nodes")
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(F.substring("sig", b * (8 * per) + 1, F.lit(8 * per))))
+    nodes = packed.groupBy("sig").agg(F.min("id").alias("node")).select("node", "sig")
+    nodes = cut(map_batches(nodes, _briefs, f"node {kind}, sig binary, brief array<long>"), "minhash-nodes")
+    pieces = F.array(*(F.xxhash64(F.substring("sig", F.lit(8 * lo + 1), F.lit(8 * (hi - lo)))) for lo, hi in _bounds(hashes, bands, most)))
     banded = nodes.select("node", F.posexplode(pieces).alias("band", "bucket"))
     first = banded.groupBy("band", "bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    sig = lambda node: nodes.select(F.col("node").alias(node), F.col("sig").alias(f"sig_{node}"))
-    # many buckets hold the same pair: its distance is taken once
-    met = banded.join(first, ["band", "bucket"]).where("node != first")
-    stars = met.select("node", "first").distinct().join(sig("node"), "node").join(sig("first"), "first")
-    stars = cut(stars.select("node", "first", _differing("sig_node", "sig_first", hashes).alias("d")), "minhash-stars")
-    met = cut(met.join(stars, ["node", "first"]), "minhash-met")
-    # one of the two at least is far from the first
-    far = met.where(F.col("d") > most).select("band", "bucket", F.col("node").alias("u"), F.col("d").alias("du"))
-    others = met.select("band", "bucket", F.col("node").alias("v"), F.col("d").alias("dv"))
-    pairs = far.join(others, ["band", "bucket"]).where((F.abs(F.col("du") - F.col("dv")) <= most) & (F.col("u") != F.col("v")) & ((F.col("dv") <= most) | (F.col("u") < F.col("v"))))
-    near = pairs.select("u", "v").distinct().join(sig("u"), "u").join(sig("v"), "v").where(_differing("sig_u", "sig_v", hashes) <= most)
-    edges = stars.where(F.col("d") <= most).select(F.col("first").alias("u"), F.col("node").alias("v")).union(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
-    found = connected_components(edges).withColumnRenamed("component", "family")
-    named = packed.join(nodes, "sig").join(found, "node", "left")
-    return named.select("id", F.coalesce("family", "node").alias("family"))
+    met = cut(banded.join(first, ["band", "bucket"]).where("node != first"), "minhash-met")
+    of = lambda node, what: nodes.select(F.col("node").alias(node), F.col(what).alias(f"{what}_{node}"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return pairs.join(of("u", "sig"), "u").join(of("v", "sig"), "v").where(_differing("sig_u", "sig_v", hashes) <= most).select("u", "v")
+
+    # many buckets hold the same pair: it is compared once
+    stars = met.select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
+    stars = stars.join(of("u", "brief"), "u").join(of("v", "brief"), "v").where(_maybe_near("brief_u", "brief_v", hashes, most)).select("u", "v")
+    part = cut(connected_components(near(cut(stars, "minhash-stars"))), "minhash-parts")
+    named = lambda node, name: part.select(F.col("node").alias(node), F.col("component").alias(name))
+    # buckets of one component are done
+    met = met.join(named("node", "part"), "node", "left").join(named("first", "main"), "first", "left")
+    met = met.select("band", "bucket", "node", F.coalesce("part", "node").alias("part"), F.coalesce("main", "first").alias("main"))
+    mixed = met.where("part != main").select("band", "bucket").distinct()
+    met = cut(met.join(mixed, ["band", "bucket"]).join(nodes.select("node", "brief"), "node"), "minhash-mixed")
+    u = met.where("part != main").select("band", "bucket", F.col("node").alias("u"), F.col("part").alias("part_u"), F.col("brief").alias("brief_u"))
+    v = met.select("band", "bucket", F.col("node").alias("v"), F.col("part").alias("part_v"), F.col("brief").alias("brief_v"), "main")
+    # of two that could both be u, the smaller one is
+    meets = (F.col("part_u") != F.col("part_v")) & ((F.col("u") < F.col("v")) | (F.col("part_v") == F.col("main"))) & _maybe_near("brief_u", "brief_v", hashes, most)
+    links = near(cut(u.join(v, ["band", "bucket"]).where(meets).select("u", "v").distinct(), "minhash-pairs"))
+    ends = links.join(named("u", "part_u"), "u", "left").join(named("v", "part_v"), "v", "left")
+    whole = connected_components(ends.select(F.coalesce("part_u", "u").alias("u"), F.coalesce("part_v", "v").alias("v"))).select(F.col("node").alias("part"), F.col("component").alias("family"))
+    digest = F.unhex(F.sha2("sig", 256)).alias("digest")
+    found = packed.select("id", digest).join(nodes.select("node", digest), "digest").select("id", "node")
+    found = found.join(named("node", "part"), "node", "left").select("id", F.coalesce("part", "node").alias("part"))
+    return found.join(whole, "part", "left").select("id", F.coalesce("family", "part").alias("family"))

@@ -103,6 +103,35 @@ def test_document_families_are_brute_force(spark):
     assert edges > 20 and got == family
 
 
+def test_families_are_linked_across_buckets(spark):
+    """Chains whose ends are far from each other, in and beside a crowd that shares parts of every text."""
+    rng = random.Random(11)
+    crowd = [f"c{k}" for k in range(300)]
+    texts = {}
+    for i in range(90):
+        own = [f"o{i // 9}{k}" for k in range(120)]
+        for at in range(i % 9):  # each changes a few words more than the one before
+            own[at * 4 : at * 4 + 3] = [f"x{i // 9}{at}{k}" for k in range(3)]
+        texts[rng.random()] = " ".join(crowd + own)
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(t for _, t in sorted(texts.items()))], "id long, t string")
+    sketch = {r["id"]: bytes(r["sig"]) for r in neardup.sketches(rows, "id", "t").collect()}
+    family = {i: i for i in sketch}
+    for a in sketch:
+        for b in range(a):
+            if sum(sketch[a][k : k + 8] == sketch[b][k : k + 8] for k in range(0, 1024, 8)) >= 0.85 * 128:
+                x, y = sorted((family[a], family[b]))
+                family = {k: x if f == y else f for k, f in family.items()}
+    assert 1 < len(set(family.values())) < 90
+    assert {r["id"]: r["family"] for r in neardup.families(rows, "id", "t").collect()} == family
+
+
+def test_pieces_looked_up_hold_every_near_pair():
+    """Fewer and longer ones than bands where those find all near pairs, else the bands."""
+    bounds = neardup._bounds(128, 32, 19)
+    assert len(bounds) == 20 and [k for lo, hi in bounds for k in range(lo, hi)] == list(range(128))
+    assert neardup._bounds(16, 4, 8) == [(0, 4), (4, 8), (8, 12), (12, 16)]
+
+
 def test_document_families_of_the_corpus(spark):
     rows = core.document_families(spark, SF).collect()
     assert len(rows) == core.table(spark, SF, "documents").count() > len({r["family"] for r in rows})
