@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import dedup_norm, normal_form
+from corpusmill.functions.text import normal_form
 from corpusmill.operators.graph import connected_components
 from corpusmill.session import cut, map_batches
 
@@ -62,9 +62,38 @@ def _windows(parts: list[tuple[int, str]]) -> tuple[np.ndarray, pa.DictionaryArr
 
 def shingles(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, shingle): distinct 5-character pieces of the normal form; a shorter text is its own."""
-    norm = rows.select(F.col(key).alias("id"), F.coalesce(dedup_norm(text), F.lit("")).alias("t"))
-    last = F.greatest(F.length("t") - (SHINGLE - 1), F.lit(1))
-    return norm.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("t", i, F.lit(SHINGLE))))).alias("shingle"))
+
+    def run(batches):
+        for b in batches:
+            for at, t in enumerate(b.column(1).to_pylist()):
+                own = list(_pieces(normal_form(t)))
+                for lo in range(0, len(own), STEP):
+                    part = own[lo : lo + STEP]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([at] * len(part), pa.int64())), pa.array(part, pa.string())], names=["id", "shingle"])
+
+    return map_batches(_rows(rows, key, text), run, f"id {rows.schema[key].dataType.simpleString()}, shingle string", 200)
+
+
+def shingle_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, n): how many rows ``shingles`` has of a key, without making them."""
+
+    def run(batches):
+        for b in batches:
+            texts = [normal_form(t) for t in b.column(1).to_pylist()]
+            n = np.ones(len(texts), np.int64)
+            for d, t in enumerate(texts):
+                if len(t) > STEP:
+                    n[d] = len(_pieces(t))
+            for d, piece in _groups({d: t for d, t in enumerate(texts) if SHINGLE <= len(t) <= STEP}, STEP):
+                width = len(piece.dictionary)
+                found = d * width + piece.indices.to_numpy()
+                found.sort()
+                found = found[np.concatenate(([True], found[1:] != found[:-1]))] // width
+                n[d[0] : d[-1] + 1] = np.where(np.bincount(found - d[0]) > 0, np.bincount(found - d[0]), n[d[0] : d[-1] + 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=["id", "n"])
+
+    counted = map_batches(_rows(rows, key, text), run, f"id {rows.schema[key].dataType.simpleString()}, n long", 200)
+    return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _hashed(pieces: list[str], hashes: int) -> np.ndarray:

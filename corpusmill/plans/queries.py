@@ -247,7 +247,7 @@ QUERIES["split_assignment"] = split_assignment
 
 def document_shingle_counts(spark, sf_dir):
     """``shingle_counts`` over the corpus; this and the next two are too slow in SQL, tests compare by brute force."""
-    return neardup.shingles(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("id").agg(F.count("*").alias("n"))
+    return neardup.shingle_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def document_signatures(spark, sf_dir):

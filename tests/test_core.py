@@ -103,6 +103,16 @@ def test_document_families_are_brute_force(spark):
     assert edges > 20 and got == family
 
 
+def test_shingles_of_any_text(spark):
+    texts = ["", "a", "abcd", "abcde", "abcdef" * 9, None, "  \t ", "Ĳ ﬁ ẞ 𝒳𝒴" * 3, "\U0001f600" * 7, "word " * 50, "ß" * 4]
+    texts += ["".join(random.Random(7).choices("abcdefgh ", k=400_000))]  # the time of a text grew with the square of its length
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(0, "zzzzzzzz")], "id long, t string")
+    want = [len(neardup._pieces(T.normal_form(t or ""))) for t in texts]
+    want[0] += 1  # rows of one key are added up
+    assert sorted(map(tuple, neardup.shingle_counts(rows, "id", "t").collect())) == list(enumerate(want))
+    assert sorted(map(tuple, neardup.shingles(rows, "id", "t").groupBy("id").count().collect())) == list(enumerate(want))
+
+
 def test_families_are_linked_across_buckets(spark):
     """Chains whose ends are far from each other, in and beside a crowd that shares parts of every text."""
     rng = random.Random(11)
