@@ -113,6 +113,26 @@ def test_shingles_of_any_text(spark):
     assert sorted(map(tuple, neardup.shingles(rows, "id", "t").groupBy("id").count().collect())) == list(enumerate(want))
 
 
+def test_signatures_hash_a_shingle_once(monkeypatch):
+    """A corpus with more shingles than a worker kept, read twice; few kept, the values stay."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(9000)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in [0, 1, 3, 20, 90, 400, 3000, 9000] for _ in range(3)] + ["abc " * 2000, "é" * 3, "x" * 5000]
+    plain = [[min(int(neardup.hashlib.sha256(f"42|{i}|{p}".encode()).hexdigest()[:16], 16) for p in neardup._pieces(t)) for i in range(4)] for t in texts]
+    neardup._known.cache_clear()
+    assert neardup._signatures(texts, 4).tolist() == plain
+    assert len(neardup._known(4).ids) > 30_000
+    with monkeypatch.context() as m:
+        m.setattr(neardup, "_hashed", None)
+        assert neardup._signatures(texts, 4).tolist() == plain
+    monkeypatch.setattr(neardup, "KNOWN", 500)
+    monkeypatch.setattr(neardup, "STEP", 2000)
+    neardup._known.cache_clear()
+    for _ in range(2):
+        assert neardup._signatures(texts, 4).tolist() == plain
+    neardup._known.cache_clear()
+
+
 def test_families_are_linked_across_buckets(spark):
     """Chains whose ends are far from each other, in and beside a crowd that shares parts of every text."""
     rng = random.Random(11)
