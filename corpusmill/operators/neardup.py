@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +16,20 @@ from corpusmill.operators.graph import connected_components
 from corpusmill.session import cut, map_batches
 
 HASHES, BANDS, SHINGLE, SEED, THRESHOLD = 128, 32, 5, 42, 0.85
-#: Shingles whose small hashes a worker keeps, about 0.4 KB each; those used least make room for others.
-KNOWN = 500_000
-#: Shingles of short texts whose hashes a worker keeps, about 1.2 KB each.
+#: Shingles whose small hashes a worker keeps, about 0.3 KB each; those not met for longest make room for others. Their numbers have 22 bits.
+KNOWN = 700_000
+#: Shingles of short texts whose larger hashes a worker keeps, 1.2 KB each at most.
 WHOLE = 20_000
+#: Shingles hashed at once.
+HASHED = 200
 #: Characters gone through at once.
 STEP = 1 << 19
-#: A text's minima are looked for among hashes below 2 ** -bits of all, at first with the most bits that leave ``ENOUGH`` of them to each.
-LEVELS, ENOUGH = (7, 5, 3), 16
-#: Hashes of a shingle below a level's limit, on the average, from which on fewer characters are gone through at once.
-LEVEL_HASHES = 2
+#: A text's minima are looked for among hashes below 2 ** -bits of all, at first with the most bits that leave ``ENOUGH`` of them to each, or the fewest.
+LEVELS, ENOUGH = (11, 10, 9, 8, 7, 6, 5, 4, 3), 16
+#: Signatures go through so many times fewer characters at once, which stay in a core's cache; where a shingle has more hashes below the level's limit, so many times fewer.
+LEVEL_STEP = 8
+#: Bits of a code point.
+POINT = 21
 
 
 def _rows(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,22 +40,23 @@ def _pieces(t: str) -> set[str]:
     return {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}
 
 
-def _groups(texts: dict[int, str], step: int) -> Iterator[tuple[np.ndarray, pa.DictionaryArray]]:
-    """(text, piece as UTF-32) of every position of texts that have a whole piece, about ``step`` positions at a time."""
+def _parts(texts: dict[int, str], step: int) -> Iterator[list[tuple[int, str]]]:
+    """Texts that have a whole piece, cut where they are long, about ``step`` positions at a time."""
     held, room = [], step
     for d, t in texts.items():
         for at in range(0, len(t) - SHINGLE + 1, step):
             part = t[at : at + step + SHINGLE - 1]
             if held and len(part) > room:
-                yield _windows(held)
+                yield held
                 held, room = [], step
             held.append((d, part))
             room -= len(part)
     if held:
-        yield _windows(held)
+        yield held
 
 
 def _windows(parts: list[tuple[int, str]]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(text, piece as UTF-32) of every position."""
     codes = np.frombuffer("".join(p for _, p in parts).encode("utf-32-le"), np.uint32)
     n = np.array([len(p) - SHINGLE + 1 for _, p in parts])
     at = np.arange(n.sum()) + np.repeat((SHINGLE - 1) * np.arange(len(n)), n)  # none begins in one part and ends in the next
@@ -60,6 +64,21 @@ def _windows(parts: list[tuple[int, str]]) -> tuple[np.ndarray, pa.DictionaryArr
     return np.repeat(np.array([d for d, _ in parts]), n), pa.Array.from_buffers(pa.binary(4 * SHINGLE), len(raw), [None, pa.py_buffer(raw)]).dictionary_encode()
 
 
+def _keys(parts: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces in the order of their places, as their first three and last two code points, and where each part begins.
+
+    What begins in one part and ends in the next is replaced by the last piece of the one.
+    """
+    codes = np.frombuffer("".join(p for _, p in parts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    two = codes[:-1] | codes[1:] << POINT
+    head, tail = two[:-3] | codes[2:-2] << 2 * POINT, two[3:].copy()
+    ends = np.cumsum([len(p) for _, p in parts])
+    last = ends[:-1] - SHINGLE
+    for k in range(1, SHINGLE):
+        head[last + k], tail[last + k] = head[last], tail[last]
+    return head, tail, np.concatenate(([0], ends[:-1]))
+
+
 def shingles(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, shingle): distinct 5-character pieces of the normal form; a shorter text is its own."""
 
@@ -84,7 +103,7 @@ def shingle_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
             for d, t in enumerate(texts):
                 if len(t) > STEP:
                     n[d] = len(_pieces(t))
-            for d, piece in _groups({d: t for d, t in enumerate(texts) if SHINGLE <= len(t) <= STEP}, STEP):
+            for d, piece in map(_windows, _parts({d: t for d, t in enumerate(texts) if SHINGLE <= len(t) <= STEP}, STEP)):
                 width = len(piece.dictionary)
                 found = d * width + piece.indices.to_numpy()
                 found.sort()
@@ -96,82 +115,138 @@ def shingle_counts(rows: DataFrame, key: str, text: str) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _hashed(pieces: list[str], hashes: int) -> np.ndarray:
+def _hashed(pieces: list[str], which: Sequence[int]) -> np.ndarray:
     """The first 8 bytes of sha256('seed|i|shingle') by shingle and i."""
-    before, sha = [f"{SEED}|{i}|".encode() for i in range(hashes)], hashlib.sha256
+    before, sha = [f"{SEED}|{i}|".encode() for i in which], hashlib.sha256
     raw = b"".join([sha(p + s).digest() for s in map(str.encode, pieces) for p in before])
-    return np.frombuffer(raw, ">u8").reshape(len(pieces), hashes, 4)[:, :, 0].astype(np.uint64)
+    return np.frombuffer(raw, ">u8").reshape(len(pieces), len(which), 4)[:, :, 0].astype(np.uint64)
 
 
 @lru_cache(WHOLE)
-def _hashes(shingle: str, hashes: int) -> np.ndarray:
-    return _hashed([shingle], hashes)[0]
+def _hashes(shingle: str, which: tuple[int, ...]) -> np.ndarray:
+    return _hashed([shingle], which)[0]
 
 
 class _Known:
-    """The small hashes of the shingles that a worker met, least first, so a text need not look at all of them."""
+    """The small hashes of the shingles that a worker met, least first, so a text need not look at all of them.
+
+    Shingles are found by a hash table of rows (head, tail with number + 1 above it), with the next free row taken
+    where one is; all shingles of some texts are looked up by a few calls.
+    """
 
     def __init__(self, hashes: int):
-        self.hashes, self.ids = hashes, {}
+        self.hashes, self.n, self.end, self.time = hashes, 0, 0, 0
+        self.table = np.zeros((1 << 10, 2), np.uint64)
         # these have room at their ends
-        self.start, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.below = np.zeros((1, len(LEVELS)), np.int16)
+        self.keys, self.start, self.used = np.zeros((1, 2), np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.below = [np.zeros(1, np.int16) for _ in LEVELS]
         self.i, self.h = np.zeros(1, np.int16), np.zeros(1, np.uint64)
-        self.end = 0
-
-    def find(self, pieces: list[bytes]) -> np.ndarray:
-        """Numbers of the pieces, each given once; those not met before are hashed."""
-        found = self._numbers(pieces)
-        if (found < 0).any() and self.ids and len(self.ids) + (found < 0).sum() > KNOWN:
-            self._make_room()
-            found = self._numbers(pieces)
-        new = np.flatnonzero(found < 0)
-        for at in range(0, len(new), 1000):
-            self._add([pieces[k] for k in new[at : at + 1000].tolist()])
-        found[new] = np.arange(len(self.ids) - len(new), len(self.ids))
-        self.used[found] += 1
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.keys[: self.n]
+
+    def find(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces; those not met before are hashed."""
+        found, self.time = self._numbers(head, tail), self.time + 1
+        if (found < 0).any():
+            new = _distinct(head[found < 0], tail[found < 0])
+            if self.n and self.n + len(new) > KNOWN:
+                self.used[found[found >= 0]] = self.time
+                self._make_room()
+                found = self._numbers(head, tail)
+                new = _distinct(head[found < 0], tail[found < 0])
+            for at in range(0, len(new), HASHED):
+                self._add(new[at : at + HASHED])
+            found[found < 0] = self._numbers(head[found < 0], tail[found < 0])
+        self.used[found] = self.time
         return found
 
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.get, pieces, repeat(-1)), np.int64, len(pieces))
+    def _home(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        mixed = head * np.uint64(0x9E3779B97F4A7C15) + tail * np.uint64(0xC2B2AE3D27D4EB4F)
+        return (mixed >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def _numbers(self, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces, -1 for those not known."""
+        row = self._home(head, tail)
+        found, todo = self._look(row, head, tail)
+        while len(todo):
+            row = (row[todo] if len(row) > len(todo) else row) + 1 & len(self.table) - 1
+            found[todo], more = self._look(row, head[todo], tail[todo])
+            row, todo = row[more], todo[more]
+        return found
 
-    def _add(self, pieces: list[bytes]) -> None:
+    def _look(self, row: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers in those rows, and which rows hold another piece."""
+        held = self.table.take(row, axis=0, mode="clip")
+        found = (held[:, 1] >> 2 * POINT).astype(np.int64) - 1
+        other = (held[:, 0] != head) | (held[:, 1] & (1 << 2 * POINT) - 1 != tail)
+        return found, np.flatnonzero(other & (found >= 0))
+
+    def _enter(self, numbers: np.ndarray) -> None:
+        """Puts pieces into the table that are not there."""
+        if 2 * self.n > len(self.table):
+            self.table = np.zeros((1 << (2 * self.n).bit_length(), 2), np.uint64)
+            numbers = np.arange(self.n)
+        rows = self.keys[numbers]
+        row = self._home(rows[:, 0], rows[:, 1])
+        rows[:, 1] |= (numbers + 1).astype(np.uint64) << 2 * POINT
+        while len(rows):
+            free = self.table[row, 1] == 0
+            self.table[row[free]] = rows[free]
+            out = self.table[row, 1] != rows[:, 1]  # of those that took the same row one is in it
+            rows, row = rows[out], row[out] + 1 & len(self.table) - 1
+
+    def _add(self, pieces: np.ndarray) -> None:
         below, i, h = self._small(pieces)
-        n, m = len(self.ids), len(self.ids) + len(pieces)
-        self.ids |= zip(pieces, range(n, m), strict=True)
-        self.start, self.used, self.below = _put(self.start, n, self.end + np.cumsum(below[:, -1]) - below[:, -1]), _put(self.used, n, np.zeros(m - n, np.int64)), _put(self.below, n, below)
+        n, m = self.n, self.n + len(pieces)
+        self.keys, self.start = _put(self.keys, n, pieces), _put(self.start, n, self.end + np.cumsum(below[-1]) - below[-1])
+        self.used, self.below = _put(self.used, n, np.zeros(m - n, np.int64)), [_put(held, n, more) for held, more in zip(self.below, below, strict=True)]
         self.i, self.h = _put(self.i, self.end, i), _put(self.h, self.end, h)
-        self.end += len(h)
-
-    def _small(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = _hashed([p.decode("utf-32-le") for p in pieces], self.hashes)
-        order = np.argsort(h, axis=1)
-        h = np.take_along_axis(h, order, axis=1)
-        below = np.stack([(h < _limit(bits)).sum(axis=1) for bits in LEVELS], axis=1)
-        kept = np.arange(self.hashes) < below[:, -1:]
-        return below, order[kept].astype(np.int16), h[kept]
+        self.n, self.end = m, self.end + len(h)
+        self._enter(np.arange(n, m))
+
+    def _small(self, pieces: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """By level the hashes of each piece below its limit, and those of the last level, piece by piece, with their i."""
+        point = (1 << POINT) - 1
+        codes = np.stack([pieces[:, 0] & point, pieces[:, 0] >> POINT & point, pieces[:, 0] >> 2 * POINT, pieces[:, 1] & point, pieces[:, 1] >> POINT], axis=1)
+        text = codes.astype("<u4").tobytes().decode("utf-32-le")
+        h = _hashed([text[k : k + SHINGLE] for k in range(0, len(text), SHINGLE)], range(self.hashes))
+        piece, i = np.nonzero(h < _limit(LEVELS[-1]))
+        h = h[piece, i]
+        order = np.lexsort((h, piece))
+        below = [np.bincount(piece[h < _limit(bits)], minlength=len(pieces)).astype(np.int16) for bits in LEVELS]
+        return below, i[order].astype(np.int16), h[order]
 
     def _make_room(self) -> None:
-        """Keeps the three quarters of the shingles that were used most."""
-        kept = np.sort(np.argsort(-self.used[: len(self.ids)], kind="stable")[: KNOWN * 3 // 4])
+        """Keeps three quarters of the shingles, those met last."""
+        kept = np.sort(np.argsort(-self.used[: self.n], kind="stable")[: KNOWN * 3 // 4])
         at, n = self._entries(kept, len(LEVELS) - 1)
-        names = list(self.ids)
-        self.ids = {names[k]: m for m, k in enumerate(kept.tolist())}
-        self.used, self.below, self.i, self.h = self.used[kept] // 2, self.below[kept], self.i[at], self.h[at]
-        self.start, self.end = np.cumsum(n) - n, len(at)
+        self.keys, self.used, self.below = self.keys[kept], self.used[kept], [held[kept] for held in self.below]
+        self.i, self.h, self.start = self.i[at], self.h[at], np.cumsum(n) - n
+        self.n, self.end = len(kept), len(at)
+        self.table[:] = 0
+        self._enter(np.arange(self.n))
 
     def _entries(self, found: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the hashes of a level are, shingle by shingle, and how many each has."""
-        n = self.below[found, level].astype(np.int64)
-        return np.arange(n.sum()) + np.repeat(self.start[found] - np.cumsum(n) + n, n), n
+        n = self.below[level].take(found).astype(np.int64)
+        to = np.cumsum(n)
+        return np.arange(to[-1] if len(to) else 0) + np.repeat(self.start.take(found) - to + n, n), n
 
     def least(self, out: np.ndarray, texts: dict[int, str], level: int) -> None:
         """Lowers the rows ``out[d]`` to the hashes of that level of the texts' shingles."""
-        for d, piece in _groups(texts, STEP * LEVEL_HASHES // max(LEVEL_HASHES, self.hashes >> LEVELS[level])):
-            each = np.frombuffer(piece.dictionary.buffers()[1], f"V{4 * SHINGLE}", len(piece.dictionary)).tolist()
-            found = self.find(each)[piece.indices.to_numpy()]
-            at, n = self._entries(found, level)
-            np.minimum.at(out.reshape(-1), np.repeat(d * self.hashes, n) + self.i[at], self.h[at])
+        for parts in _parts(texts, max(1, STEP // max(LEVEL_STEP, self.hashes >> LEVELS[level]))):
+            head, tail, begins = _keys(parts)
+            at, n = self._entries(self.find(head, tail), level)
+            rows = np.repeat(self.hashes * np.array([d for d, _ in parts]), np.add.reduceat(n, begins))
+            np.minimum.at(out.reshape(-1), rows + self.i.take(at), self.h.take(at))
+
+
+def _distinct(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Rows (head, tail), each once."""
+    rows = np.stack([head, tail], axis=1)[np.lexsort((head, tail))]
+    return rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))[: len(rows)]]
 
 
 def _put(held: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
@@ -195,19 +270,22 @@ def _signatures(texts: list[str], hashes: int) -> np.ndarray:
     """By text and i, the least hash of a shingle.
 
     A minimum below a level's limit is right whatever the other hashes are; texts with one that is not go
-    on to the next level, and at last all hashes of their shingles are taken.
+    on to the next level, and at last all hashes are taken for those i that have none below the last limit.
     """
     out = np.full((len(texts), hashes), np.iinfo(np.uint64).max, np.uint64)
     todo = dict(enumerate(texts))
     for level, bits in enumerate(LEVELS):
-        now = {d: t for d, t in todo.items() if len(t) > ENOUGH << bits}
+        now = {d: t for d, t in todo.items() if len(t) > ENOUGH << bits or bits == LEVELS[-1]}
         _known(hashes).least(out, now, level)
         for d in now:
             if (out[d] < _limit(bits)).all():
                 del todo[d]
     for d, t in todo.items():
+        large = np.flatnonzero(out[d] >= _limit(LEVELS[-1]))
+        which, least = tuple(large.tolist()), out[d, large]
         for piece in _pieces(t):
-            np.minimum(out[d], _hashes(piece, hashes), out=out[d])
+            np.minimum(least, _hashes(piece, which), out=least)
+        out[d, large] = least
     return out
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from pathlib import Path
 
 import duckdb
@@ -133,6 +134,42 @@ def test_signatures_hash_a_shingle_once(monkeypatch):
     neardup._known.cache_clear()
 
 
+def test_signatures_of_known_shingles_take_less_than_cutting_them():
+    """Texts whose shingles a worker knows are gone through by array, not by shingle."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéü\u4e2d\U0001f600", k=6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([200, 1000, 4000]))) for _ in range(60)]
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    neardup._signatures(texts, 128)
+    assert seconds(lambda: neardup._signatures(texts, 128)) < 0.4 * seconds(lambda: [neardup._pieces(t) for t in texts])
+    neardup._known.cache_clear()
+
+
+def test_signatures_of_short_texts_hash_what_is_not_known(monkeypatch):
+    """Shingles that longer texts had are not hashed again for short ones but for the minima that are still large."""
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choices("abcdef", k=7)) for _ in range(2000))
+    short = [long[k : k + n] for k, n in [(0, 5), (9, 6), (50, 30), (200, 60), (400, 100), (700, 128)]] + ["abcd", "", "中文" * 3, "\0" * 6, "\U0010ffff" * 7]
+    plain = [[min(int(neardup.hashlib.sha256(f"42|{i}|{p}".encode()).hexdigest()[:16], 16) for p in neardup._pieces(t)) for i in range(128)] for t in short]
+    neardup._known.cache_clear()
+    neardup._hashes.cache_clear()
+    neardup._signatures([long], 128)
+    made, sha = [], neardup.hashlib.sha256
+    monkeypatch.setattr(neardup.hashlib, "sha256", lambda b: made.append(b) or sha(b))
+    assert neardup._signatures(short[:6], 128).tolist() == plain[:6]
+    assert len(made) < 128 * sum(len(neardup._pieces(t)) for t in short[:6]) / 8
+    assert neardup._signatures(short, 128).tolist() == plain
+    neardup._known.cache_clear()
+
+
 def test_families_are_linked_across_buckets(spark):
     """Chains whose ends are far from each other, in and beside a crowd that shares parts of every text."""
     rng = random.Random(11)
